@@ -77,7 +77,7 @@ def ngram_set(text: str | None, n: int, hashes: Hashes) -> np.ndarray:
     width = min(n, len(h))
     out = np.zeros(len(h) - width + 1, np.uint64)
     for k in range(width):
-        out += h[k : len(h) - width + 1 + k] * np.uint64((2 * k + 1) * _STEP & (2**64 - 1))
+        out += h[k : len(h) - width + 1 + k] * np.uint64(pow(_STEP, k + 1, 2**64))
     return np.unique(mix(out + np.uint64(width)))
 
 
@@ -316,25 +316,25 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     bits = 1 << 15
     while bits < FILTER_BITS and bits < 16 * count:
         bits *= 2
-    at = F.pmod(F.xxhash64("rep"), F.lit(bits))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # noqa: E731  bucket k holds 32768 (k - 1) + 1 and on
+    at = place("rep")
     made = reps.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map")).collect()
-    full = np.zeros(bits // 8 + 4096, np.uint8)
+    full = np.zeros(bits // 8, np.uint8)
     for r in made:
         full[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
-    # bitmap_bucket_number counts from 1, and a position p of bucket k stands for the number 32768 (k - 1) + p, +1 for k >= 1.
     known = spark.sparkContext.broadcast(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, there = Hashes(), known.value
         for batch in batches:
             k, p = np.asarray(batch.column("bucket")), np.asarray(batch.column("place"))
-            hit = (there[np.minimum((k - 1) * 4096 + (p >> 3), len(there) - 1)] >> (p & 7).astype(np.uint8)) & 1
+            hit = (there[(k - 1) * 4096 + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1
             some = batch.filter(pa.array(hit.astype(bool)))
             for lo in range(0, some.num_rows, 500):
                 part = some.slice(lo, 500)
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([ngram_set(t.as_py(), rule.n, hashes).tobytes() for t in part.column("text")], pa.binary())], ["rep", "elems"])
 
-    placed = docs.select(F.col("doc_id").cast("long").alias("rep"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("at")).filter("rep is not null")
+    placed = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null").withColumn("at", place("rep"))
     found = placed.select("rep", "text", F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("place")).mapInArrow(run, "rep long, elems binary")
     return found.join(reps, "rep").filter(F.octet_length("elems") == 8 * F.col("n")).dropDuplicates(["rep", "lo"])
 
