@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, secret_scan
+from . import fingerprints, jaccard_join, language_id, quality, secret_scan
 
 QUERIES = {
+    "op1_quality": quality.op1,
     "op2_fingerprints": fingerprints.op2,
+    "op5_jaccard_join": jaccard_join.op5,
     "op6_secret_scan": secret_scan.op6,
+    "op9_language_id": language_id.op9,
 }
 
 #: SQL twins, where SQL can express an operator.
