@@ -9,8 +9,9 @@ and the k-th sample is the term with the least ln a. Two documents choose the sa
 probability sum(min weights) / sum(max weights), the generalised Jaccard similarity. ln a identifies
 (term, t), so its hash is what the signature keeps: K hashes of 16 bits, as hexadecimal text.
 
-The gamma variates come from tables of quantiles indexed by bits of a 64-bit hash of (term, k): no
-logarithms in the inner loop, and all of it stays in generated code.
+c = -ln(u v) for uniform u and v is computed; r comes from a table of quantiles, indexed by bits of the
+64-bit hash of (term, k) that also gives u, v and b. It all stays in generated code. Since only the order
+of the ln a counts, a = c exp(-r (t - b + 1)) is compared instead: one logarithm and one exponential.
 
 Data flow: the text is shuffled once, by ranges of doc_id. The order (descending doc_id), the term counts
 and the K minima are all computed inside those ranges, without another exchange. Range bounds are at most
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, WORD, partitions, table, whole
 
-K = 64
-#: Entries of each table of quantiles (a power of two).
-QUANTILES = 1024
+K = 48
+#: Entries of the table of quantiles of r (a power of two; each use of it is a literal in the plan).
+QUANTILES = 128
 MAX_RANGES = 1024
 #: Characters of text to a partition, and ranges to a partition, so that partitions come out even.
 CHARS, RANGES = 3_000_000, 3
@@ -50,28 +51,23 @@ def gamma_quantiles(n: int) -> list[float]:
     return out
 
 
-def _literal(values: list[float]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def log_sample(term: Column, log_weight: Column, k: int, r_table: Column, c_table: Column) -> Column:
-    """ln a of one sample; term is a 64-bit hash."""
-    bits = (QUANTILES - 1).bit_length()
+def sample(term: Column, log_weight: Column, k: int, r_table: Column) -> Column:
+    """a of one sample; term is a 64-bit hash, whose 64 bits with k give r (7), b (13), u and v (22 each)."""
     h = F.xxhash64(term, F.lit(k))
-    mask = F.lit(QUANTILES - 1).cast("long")
-    r = F.get(r_table, h.bitwiseAND(mask).cast("int"))
-    ln_c = F.get(c_table, F.shiftrightunsigned(h, bits).bitwiseAND(mask).cast("int"))
-    b = F.shiftrightunsigned(h, 64 - 40).cast("double") * F.lit(2.0**-40)
-    return ln_c - r * (F.floor(log_weight / r + b).cast("double") - b + F.lit(1.0))
+    bits = lambda at, n: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    uniform = lambda at, n: (bits(at, n).cast("double") + F.lit(0.5)) * F.lit(2.0**-n)
+    r = F.get(r_table, bits(0, 7).cast("int"))
+    b = uniform(7, 13)
+    c = -F.log(uniform(20, 22) * uniform(42, 22))
+    return c * F.exp(r * (b - F.lit(1.0) - F.floor(log_weight / r + b).cast("double")))
 
 
 def signatures(terms: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """terms: keys, term (64-bit hash), weight > 0 -> keys, fingerprint. One group by over the keys."""
-    quantiles = gamma_quantiles(QUANTILES)
-    r_table, c_table = _literal(quantiles), _literal([math.log(x) for x in quantiles])
+    r_table = F.array(*[F.lit(v) for v in gamma_quantiles(QUANTILES)])
     log_weight = F.log(F.col("weight").cast("double"))
     samples = terms.select(*keys, F.col("term"), log_weight.alias("lw"))
-    least = samples.groupBy(*keys).agg(*[F.min(log_sample(F.col("term"), F.col("lw"), i, r_table, c_table)).alias(f"a{i}") for i in range(k)])
+    least = samples.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("lw"), i, r_table)).alias(f"a{i}") for i in range(k)])
     return least.select(*keys, signature_text([F.col(f"a{i}") for i in range(k)]).alias("fingerprint"))
 
 
@@ -82,10 +78,8 @@ def signature_text(samples: list[Column]) -> Column:
 
 def likeness(a: Column, b: Column, k: int = K) -> Column:
     """Share of the samples that agree."""
-    same = F.lit(0)
-    for i in range(k):
-        same = same + (F.substring(a, 4 * i + 1, 4) == F.substring(b, 4 * i + 1, 4)).cast("int")
-    return same.cast("double") / F.lit(float(k))
+    agree = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.substring(a, 4 * i + 1, F.lit(4)) == F.substring(b, 4 * i + 1, F.lit(4)))
+    return F.size(agree).cast("double") / F.lit(float(k))
 
 
 def words(text: Column) -> Column:
