@@ -55,3 +55,28 @@ def whole(col: Column) -> Column:
 def partitions(spark: SparkSession, chars: int, each: int) -> int:
     """How many partitions hold `each` characters; never fewer than the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(chars) // each), 1)
+
+
+def bits_for(count: int, most: int = 1 << 26) -> int:
+    """Bits of a filter for so many ids: 16 for each, at most `most` (8 MB)."""
+    bits = 1 << 15
+    while bits < most and bits < 16 * count:
+        bits *= 2
+    return bits
+
+
+def in_filter(ids: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows with a column maybe: false only where the key is none of ids (a column of that name).
+
+    The filter is a bitmap of fixed size, so it can be broadcast whatever the number of ids; what it lets pass by
+    chance is left to an exact join afterwards, which then moves few of the rows.
+    """
+    bits = bits_for(ids.count())
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(bits)) + 1
+    maps = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_map"))
+    place = F.bitmap_bit_position(at)
+    placed = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_place", place)
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("getbit(_byte, cast(_place % 8 as int)) = 1")
+    joined = placed.join(F.broadcast(maps), "_bucket", "left").withColumn("_byte", byte)
+    return joined.withColumn("maybe", F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()).drop("_bucket", "_place", "_map", "_byte")

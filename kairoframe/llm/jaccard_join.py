@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import in_filter, stored, table
 from .components import components
 
 #: Words whose hashes a task remembers; members of a block of a tile; elements of a chunk of a component.
@@ -389,5 +389,24 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     return every.join(of_class, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def deduplicated(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of docs, all columns, with one document, that of the least id, of each component.
+
+    Ids decide: an id stays if any of its rows is the least of its component, has an empty set or no id; of rows
+    with equal id and text one stays. Rows that are not affected are never shuffled.
+    """
+    from pyspark.sql import Window
+
+    found = stored(join(docs, rule), "components")
+    by_id = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    special = stored(by_id.filter("not _stays or _rows > 1"), "special")
+    marked = in_filter(special.select("doc_id"), docs)
+    some = marked.filter("maybe").drop("maybe").join(special, "doc_id", "left").filter("coalesce(_stays, true)")
+    again = Window.partitionBy("doc_id", "text").orderBy(F.lit(1))
+    single = some.filter("coalesce(_rows, 1) = 1").select(docs.columns)
+    repeated = some.filter("_rows > 1").withColumn("_nth", F.row_number().over(again)).filter("_nth = 1").select(docs.columns)
+    return marked.filter("not maybe").select(docs.columns).unionByName(single).unionByName(repeated)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), Rule(3, 90, 100))

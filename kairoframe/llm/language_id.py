@@ -37,6 +37,8 @@ PER_LANG, ROUNDS, MAX_LANGS, CACHE = 600, 2, 200, 400_000
 #: A text's evidence counts as that of so many words at most, lest every score be 0 or 1.
 EVIDENCE = 12.0
 UNKNOWN = "und"
+#: A text whose best language scores less is rejected by `recognised`.
+LEAST = 0.3
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -115,6 +117,18 @@ class Scorer:
             lo = hi
 
 
+def judged(scorer: Scorer | None, langs: list[str], texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Languages and scores of whole texts."""
+    texts = [x if x is not None and LETTER.search(x) else "" for x in texts]
+    pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    for i, (total, n) in enumerate(scorer.sums(texts) if scorer else ()):
+        if n:
+            x = (total - total.max()) * (min(n, EVIDENCE) / n)
+            k = int(np.argmax(total))
+            pred[i], score[i] = langs[k], float(1.0 / np.exp(x).sum())
+    return pred, score
+
+
 def predict(rows: DataFrame, langs: list[str], logp: np.ndarray, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred, score for every row (text)."""
     spark = rows.sparkSession
@@ -124,19 +138,27 @@ def predict(rows: DataFrame, langs: list[str], logp: np.ndarray, vocabulary: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(vocabulary, model.value) if langs else None
         for batch in batches:
-            texts = [x if x is not None and LETTER.search(x) else "" for x in batch.column(len(keep)).to_pylist()]
-            pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            for i, (total, n) in enumerate(scorer.sums(texts) if scorer else ()):
-                if n:
-                    x = (total - total.max()) * (min(n, EVIDENCE) / n)
-                    k = int(np.argmax(total))
-                    pred[i], score[i] = langs[k], float(1.0 / np.exp(x).sum())
+            pred, score = judged(scorer, langs, batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     schema = ", ".join([f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in keep])
     return slim.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, least: float = LEAST, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The rows of docs, all columns, whose text has letters and a language that scores at least `least`."""
+    langs, logp = fit(docs.select("doc_id", "text", "lang"), vocabulary)
+    model = docs.sparkSession.sparkContext.broadcast(logp)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(vocabulary, model.value) if langs else None
+        for batch in batches:
+            _, score = judged(scorer, langs, batch.column("text").to_pylist())
+            yield batch.filter(pa.array([x >= least for x in score], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     remainder = fold(F.col("doc_id"), 4)
