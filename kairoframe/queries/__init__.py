@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pit",)
+MODULES = ("pit", "joins", "aggregates")
 
 
 def load() -> None:
