@@ -33,9 +33,7 @@ def as_of_forward(left: DataFrame, right: DataFrame, key: str, left_on: str, rig
     a = left.select(F.col(key).alias("_key"), F.col(left_on).alias("_time"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast("boolean").alias("_has"), *empty)
     row = F.lit(None).cast(a.schema["_row"].dataType).alias("_row")
     b = right.select(F.col(key).alias("_key"), F.col(right_on).alias("_time"), F.lit(1 if strict else 0).alias("_side"), row, F.lit(True).alias("_has"), *[F.col(c).alias(f"_r_{c}") for c in columns])
-    order = [F.desc("_time"), F.desc("_side"), *[F.desc(f"_r_{c}") for c in columns]]
-    if not strict:
-        order[1] = F.asc("_side")
+    order = [F.desc("_time"), F.asc("_side"), *[F.desc(f"_r_{c}") for c in columns]]  # latest first; a strict left row comes before its equals
     w = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     packed = F.when(F.col("_has"), F.struct(*[f"_r_{c}" for c in columns]))
     both = a.unionByName(b).withColumn("_match", F.last(packed, ignorenulls=True).over(w)).filter(F.col("_row").isNotNull())

@@ -9,7 +9,7 @@ from ..catalog import query
 from ..operators import aggregates as agg
 from ..operators.aggregates import tidy
 from ..plans import pit
-from .pit import AS_OF, AT, EVENTS, MASKED, RESOLVED, resolved
+from .pit import AS_OF, AT, EVENTS, MASKED, PANEL, RESOLVED, panel, resolved
 
 T6 = "floor(({}) * 1e6 + 0.5) / 1e6"
 DAYS = f"days as (select distinct session_date from [bars] where available_at <= {AT} order by session_date desc limit 20)"
@@ -37,9 +37,8 @@ def adv_tier_monthly(w: World):
 
 
 def _period(period: str) -> str:
-    last = "period_start + 4" if period == "week" else "cast(last_day(period_start) - greatest(0, isodow(last_day(period_start)) - 5) as integer)"
     last = "cast(period_start + 4 as date)" if period == "week" else "cast(last_day(period_start) - cast(greatest(0, isodow(last_day(period_start)) - 5) as integer) as date)"
-    return f"""with {RESOLVED}, p as (select security_id, cast(date_trunc('{period}', session_date) as date) as period_start, min(session_date) as first_day, max(session_date) as period_end,
+    return f"""with {PANEL}, p as (select security_id, cast(date_trunc('{period}', session_date) as date) as period_start, min(session_date) as first_day, max(session_date) as period_end,
         arg_min(open, session_date) as open, max(high) as high, min(low) as low, arg_max(close, session_date) as close from resolved group by 1, 2),
         q as (select *, lead(first_day) over (partition by security_id order by period_start) as later from p)
         select security_id, period_start, period_end, open, high, low, close, case when period_end = {last} then period_end else later end as complete_on from q
@@ -48,21 +47,21 @@ def _period(period: str) -> str:
 
 @query("period_ohlc_week", _period("week"))
 def period_ohlc_week(w: World):
-    return agg.period_bars(resolved(w), "week")
+    return agg.period_bars(panel(w), "week")
 
 
 @query("period_ohlc_month", _period("month"))
 def period_ohlc_month(w: World):
-    return agg.period_bars(resolved(w), "month")
+    return agg.period_bars(panel(w), "month")
 
 
-@query("adjusted_for_splits", f"""with {RESOLVED}, {EVENTS}, own as (select distinct e.symbol, e.ex_date, e.factor, r.security_id from events_known e join resolved r on r.symbol = e.symbol),
+@query("adjusted_for_splits", f"""with {PANEL}, {EVENTS}, own as (select distinct e.symbol, e.ex_date, e.factor, r.security_id from events_known e join resolved r on r.symbol = e.symbol),
     around as (select o.security_id, o.symbol, o.ex_date, o.factor, arg_max(r.symbol, r.session_date) filter (where r.session_date < o.ex_date) as before_symbol,
         arg_min(r.symbol, r.session_date) filter (where r.session_date >= o.ex_date) as after_symbol, max(r.session_date) as last_day from own o join resolved r using (security_id) group by 1, 2, 3, 4),
     true_splits as (select * from around where ((after_symbol is not null or date_diff('day', last_day, ex_date) <= 7) and before_symbol = symbol) or after_symbol = symbol)
     select r.security_id, r.symbol, r.session_date, r.close, coalesce(product(t.factor), 1) as divisor from resolved r left join true_splits t on t.security_id = r.security_id and r.session_date < t.ex_date group by 1, 2, 3, 4""")
 def adjusted_for_splits(w: World):
-    return agg.split_divisors(resolved(w).select("security_id", "symbol", "session_date", "close"), pit.splits_as_of(w.splits, AS_OF))
+    return agg.split_divisors(panel(w).select("security_id", "symbol", "session_date", "close"), pit.splits_as_of(w.splits, AS_OF))
 
 
 CHOSEN = f"""chosen as (select * from (select *, row_number() over (partition by cik order by case concept when 'cover' then 1 when 'balance' then 2 else 3 end, end_date desc, filed desc, start_date desc nulls last, accn desc) as place

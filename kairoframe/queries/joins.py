@@ -115,7 +115,7 @@ def full_outer_diff(w: World):
     return joins.keyed_diff(w.segments, pit.masked_segments(w.segments, AS_OF), ["security_id", "symbol", "valid_from"], ["valid_to", "cik"])
 
 
-@query("interval_lead_join", "with iv as (select snapshot_date as lo, lead(snapshot_date) over (order by snapshot_date) as hi from (select distinct snapshot_date from [snapshots]) x) select b.symbol, s.cik, count(*) as bars from [bars] b join iv on b.session_date >= iv.lo and (iv.hi is null or b.session_date < iv.hi) join [snapshots] s on s.snapshot_date = iv.lo and s.ticker = b.symbol group by b.symbol, s.cik")
+@query("interval_lead_join", "with iv as (select snapshot_date as lo, lead(snapshot_date) over (order by snapshot_date) as hi from (select distinct snapshot_date from [snapshots]) x) select b.symbol, s.cik, count(*) as bars from [bars] b join iv on b.session_date >= iv.lo and (iv.hi is null or b.session_date < iv.hi) join (select distinct snapshot_date, ticker, cik from [snapshots]) s on s.snapshot_date = iv.lo and s.ticker = b.symbol group by b.symbol, s.cik")
 def interval_lead_join(w: World):
     listed = w.snapshots.select("ticker", "cik", F.col("snapshot_date").alias("lo")).distinct().join(F.broadcast(joins.intervals(w.snapshots, "snapshot_date")), "lo")
     b = w.bars.select("symbol", "session_date")
@@ -136,9 +136,9 @@ def filer_securities(w: World):
     return w.segments.join(filers, "cik", "left_semi").select("security_id").distinct()
 
 
-@query("filer_only_match", "select cik, case when count(distinct ticker) = 1 then min(ticker) else min(ticker) filter (where exchange = 'NYSE') end as ticker from [snapshots] group by cik having count(distinct ticker) = 1 or count(distinct ticker) filter (where exchange = 'NYSE') = 1")
+@query("filer_only_match", "select concat(snapshot_date, ticker) as listing, case when count(distinct cik) = 1 then min(cik) else min(cik) filter (where exchange = 'NYSE') end as cik from [snapshots] group by 1 having count(distinct cik) = 1 or count(distinct cik) filter (where exchange = 'NYSE') = 1")
 def filer_only_match(w: World):
-    return joins.only_match(w.snapshots, "cik", "ticker", F.col("exchange") == "NYSE")
+    return joins.only_match(w.snapshots.withColumn("listing", F.concat(F.col("snapshot_date").cast("string"), "ticker")), "listing", "cik", F.col("exchange") == "NYSE")
 
 
 @query("split_record_owner", "select sp.symbol, sp.ex_date, sp.factor, m.security_id from [splits] sp join [segments] m on m.symbol = sp.symbol and sp.ex_date >= m.valid_from and (m.valid_to is null or sp.ex_date < m.valid_to)")

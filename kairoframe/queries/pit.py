@@ -129,3 +129,11 @@ def truncated_inputs(w: World):
         row = df.agg(F.lit(name).alias("input"), F.count(F.lit(1)).alias("n"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+#: One row for each security and session: where a security has two names on a day, the first in order.
+PANEL = RESOLVED.replace("resolved as (", "owned as (") + ", resolved as (select * from (select *, row_number() over (partition by security_id, session_date order by symbol) as pick from owned) x where pick = 1)"
+
+
+def panel(w: World):
+    return pit.first_of(resolved(w), ["security_id", "session_date"], [F.col("symbol")])
