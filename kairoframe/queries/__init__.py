@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pit", "joins", "aggregates", "windows")
+MODULES = ("pit", "joins", "aggregates", "windows", "audit")
 
 
 def load() -> None:
