@@ -142,6 +142,15 @@ def _snapshots(d: Dialect) -> str:
     from {{customer}}"""
 
 
+def _listings(d: Dialect) -> str:
+    """Snapshots in which filers rename their tickers every five months, and some tickers change their filer."""
+    no = f"cast(floor({d.days("date '1996-01-01'", 'snapshot_date')} / 30) as bigint)"
+    return f"""
+    select distinct snapshot_date, concat('T', filer % 40, case when filer % 4 = 0 then '' else concat('_', cast(floor(no / 5) as bigint)) end) as ticker,
+           filer + case when filer % 7 = 0 and no > 12 then 100 else 0 end as cik, exchange
+    from (select snapshot_date, cik as filer, exchange, {no} as no from [snapshots]) x"""
+
+
 def _spinoffs(d: Dialect) -> str:
     ex = d.plus("date '1994-06-01'", "p_size * 40")
     rows = f"concat('S', p_partkey % 100 + 1) as parent_symbol, concat('S', (p_partkey * 3) % 100 + 1) as child_symbol, {ex} as ex_date, case when p_partkey % 11 = 0 then null else cast(p_partkey % 5 + 1 as double) / 20 end as ratio, {d.ts(ex)} + interval 5 hour as available_at"
@@ -166,7 +175,7 @@ def _trades(d: Dialect) -> str:
 
 RELATIONS = {
     "bars": _bars, "imported": _imported, "segments": _segments, "splits": _splits, "dividends": _dividends, "renames": _renames, "classes": _classes,
-    "facts": _facts, "snapshots": _snapshots, "spinoffs": _spinoffs, "docs": _docs, "trades": _trades,
+    "facts": _facts, "snapshots": _snapshots, "listings": _listings, "spinoffs": _spinoffs, "docs": _docs, "trades": _trades,
 }
 
 

@@ -1,0 +1,337 @@
+"""Text: tokens, ranked search over the visible corpus, filings, chunks, citations.
+
+Search statistics (number of chunks, their mean length, how many hold a word) come from what is visible at the
+instant, whatever filter the query adds: a word that becomes common later must not change an earlier ranking.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+K1, B = 1.2, 0.75
+TOKEN = r"[\p{L}\p{N}]+"
+
+
+def tokens(text: Column) -> Column:
+    """Runs of letters and digits, lower-cased; accents stay."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def folded_words(text: str) -> list[str]:
+    """Lower-cased words without accents."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+    return re.findall(r"[^\W_]+", unicodedata.normalize("NFC", plain))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def folded_tokens(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: folded_words(t or ""))
+
+
+def postings(chunks: DataFrame, terms: Column) -> DataFrame:
+    """chunk_id, term, tf of chunks (chunk_id, length, text)."""
+    return chunks.select("chunk_id", F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25(chunks: DataFrame, query: str, kept: Column | None = None, limit: int = 10) -> DataFrame:
+    """The best chunks (chunk_id, length, text) for a query: chunk_id, score. kept filters results, never statistics."""
+    words = sorted(set(re.findall(r"[^\W_]+", query.lower())))
+    if not words or limit <= 0:
+        return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    corpus = chunks.agg(F.count(F.lit(1)).alias("n_all"), F.avg("length").alias("mean"))
+    wanted = F.filter(tokens(F.col("text")), lambda t: t.isin(words))
+    found = postings(chunks, wanted)
+    held = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rows = found.join(F.broadcast(held), "term").join(chunks.select("chunk_id", "length", *([kept.alias("_kept")] if kept is not None else [])), "chunk_id").crossJoin(F.broadcast(corpus))
+    if kept is not None:
+        rows = rows.filter("_kept")
+    idf = F.log(1 + (F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = K1 * (1 - B + B * F.col("length") / F.col("mean"))
+    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    return rows.groupBy("chunk_id").agg(F.sum(gain).alias("score")).orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(limit)
+
+
+def index_mismatch(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """Postings that the text has and the index lacks ('missing'), or the reverse ('extra')."""
+    true = postings(chunks, tokens(F.col("text")))
+    keys = ["chunk_id", "term", "tf"]
+    return true.join(index, keys, "left_anti").withColumn("what", F.lit("missing")).unionByName(index.select(*keys).join(true, keys, "left_anti").withColumn("what", F.lit("extra")))
+
+
+def base_form(form: Column) -> Column:
+    """A report's form without amendment, transition reports as the usual ones."""
+    bare = F.regexp_replace(form, "/A$", "")
+    return F.when(bare == "10-KT", "10-K").when(bare == "10-QT", "10-Q").otherwise(bare)
+
+
+def normal_ticker(ticker: Column) -> Column:
+    """Class shares with a dot: BRK-B, BRK/B and BRK B are BRK.B."""
+    return F.regexp_replace(F.upper(F.trim(ticker)), r"[-/ ]+", ".")
+
+
+def valid_ticker(ticker: Column) -> Column:
+    return ticker.rlike(r"^[A-Z]+(\.[A-Z]+)?$")
+
+
+# Elements whose text is no text, elements that end a paragraph, and hidden ones that must be closed.
+UNREAD = {"head", "script", "style", "title", "ix:header"}
+PARAGRAPH = {"p", "div", "section", "article", "header", "footer", "nav", "aside", "main", "body", "ul", "ol", "li", "dl", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "form", "hr", "address", "center"}
+CLOSED_WHEN_HIDDEN = {"div", "span", "table", "section", "ix:hidden"}
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+
+
+class _Reader(HTMLParser):
+    """Turns markup into marks and text: '\\n' ends a line, '\\f' a paragraph, '\\v' a table row, '\\t' a cell."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.unread: list[str] = []
+        self.tables = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.unread:
+            if tag == "body" and self.unread[0] == "head":
+                self.unread.clear()
+            elif tag == self.unread[0]:
+                self.unread.append(tag)
+            return
+        if tag in UNREAD or (tag in CLOSED_WHEN_HIDDEN and HIDDEN.search(dict(attrs).get("style") or "")):
+            self.unread.append(tag)
+        else:
+            self._mark(tag, 1)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if not self.unread:
+            self._mark(tag, 1)
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.unread:
+            if tag == self.unread[0]:
+                self.unread.pop()
+        else:
+            self._mark(tag, -1)
+
+    def handle_data(self, data: str) -> None:
+        if not self.unread:
+            self.out.append(re.sub(r"\s+", " ", data))
+
+    def _mark(self, tag: str, step: int) -> None:
+        if tag == "table":
+            outer = self.tables == (0 if step > 0 else 1)
+            self.tables = max(0, self.tables + step)
+            self.out.append("\v\f" if outer else " ")
+        elif self.tables:
+            own = self.tables == 1
+            self.out.append("\v" if own and tag == "tr" else "\t" if own and tag in ("td", "th") else " " if tag in PARAGRAPH or tag in ("br", "td", "th", "tr") else "")
+        elif tag == "br":
+            self.out.append("\n")
+        elif tag in PARAGRAPH:
+            self.out.append("\f")
+
+
+def html_text(html: str | None) -> str | None:
+    """Readable text: a paragraph for each block with a blank line between, table rows as `cell | cell`.
+
+    Null stays null. Text after an element that is not read and never closed would be lost, so that is an error.
+    """
+    if html is None:
+        return None
+    reader = _Reader()
+    reader.feed(html)
+    reader.close()
+    if reader.unread:
+        raise ValueError(f"<{reader.unread[0]}> is never closed")
+    paragraphs = []
+    for part in "".join(reader.out).split("\f"):
+        lines = []
+        for line in re.split("[\n\v]", part):
+            cells = [re.sub(r" +", " ", c).strip() for c in line.split("\t")]
+            if any(cells):
+                lines.append(" | ".join(c for c in cells if c))
+        if lines:
+            paragraphs.append("\n".join(lines))
+    return "\n\n".join(paragraphs)
+
+
+@F.pandas_udf(T.StringType())
+def html_to_text(html: pd.Series) -> pd.Series:
+    return html.map(html_text)
+
+
+def plain_to_text(raw: Column) -> Column:
+    """Spaces collapsed in each line, at most one blank line in a row."""
+    lines = F.transform(F.split(F.regexp_replace(raw, "\r\n?", "\n"), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+PERIODIC = {"10-K", "10-Q", "20-F", "10-KT", "10-QT"}
+HEADING = re.compile(r"(?i)(PART)\s+([IVX]+)\b|(ITEM)\s+(\d+[A-Z]?)\b")
+
+
+def _pieces(text: str, most: int) -> Iterator[tuple[str | None, int, int]]:
+    """(heading, start, end): paragraphs as long as they fit, else their lines, else cuts of a line; in order."""
+    paragraph: list[tuple[int, int]] = []
+
+    def flush() -> Iterator[tuple[None, int, int]]:
+        if paragraph and paragraph[-1][1] - paragraph[0][0] <= most:
+            yield None, paragraph[0][0], paragraph[-1][1]
+        else:
+            for a, z in paragraph:
+                while z - a > most:
+                    yield None, a, a + len(text[a : a + most].rstrip())
+                    rest = text[a + most : z]
+                    a += most + len(rest) - len(rest.lstrip())
+                if a < z:
+                    yield None, a, z
+        paragraph.clear()
+
+    at = 0
+    for raw in text.split("\n"):
+        line = raw.strip()
+        if not line:
+            yield from flush()
+        else:
+            start = at + raw.index(line)
+            if len(line) < 150 and " | " not in line and HEADING.match(line):
+                yield from flush()
+                yield line, start, start
+            paragraph.append((start, start + len(line)))
+        at += len(raw) + 1
+    yield from flush()
+
+
+def chunks_of(text: str | None, form: str, most: int = 2000) -> list[tuple[int, str, int, int]]:
+    """(ordinal, section, start, end): paragraphs packed into chunks of at most `most` characters, never across
+    sections; sections (PART, ITEM headings) only in periodic reports."""
+    sectioned = form.removesuffix("/A") in PERIODIC
+    path, part, out, open_chunk = ("Cover" if sectioned else form), "", [], None
+    for heading, a, z in _pieces(text or "", most):
+        if heading is not None:
+            if sectioned:
+                if open_chunk:
+                    out.append((path, *open_chunk))
+                open_chunk = None
+                m = HEADING.match(heading)
+                if m.group(1):
+                    path = part = f"Part {m.group(2).upper()}"
+                else:
+                    path = f"{part} > Item {m.group(4).upper()}" if part else f"Item {m.group(4).upper()}"
+        elif open_chunk and z - open_chunk[0] <= most:
+            open_chunk = (open_chunk[0], z)
+        else:
+            if open_chunk:
+                out.append((path, *open_chunk))
+            open_chunk = (a, z)
+    if open_chunk:
+        out.append((path, *open_chunk))
+    return [(i, *x) for i, x in enumerate(out)]
+
+
+def chunked(docs: DataFrame, key: str, text: str, form: str, most: int = 2000) -> DataFrame:
+    """key, ordinal, section, char_start, char_end, text: exact slices of the text."""
+
+    @F.pandas_udf("array<struct<ordinal:long,section:string,char_start:long,char_end:long>>")
+    def cut(t: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("ordinal", "section", "char_start", "char_end"), x, strict=True)) for x in chunks_of(a, b, most)] for a, b in zip(t, f, strict=True)])
+
+    rows = docs.select(F.col(key), F.col(text).alias("_t"), F.inline(cut(F.col(text), F.col(form))))
+    return rows.select(key, "ordinal", "section", "char_start", "char_end", F.expr("substring(_t, cast(char_start + 1 as int), cast(char_end - char_start as int))").alias("text"))
+
+
+# Words that scale a number, words that are an amount without one, counts in words, currencies.
+SCALE = {
+    "hundred", "hundreds", "thousand", "thousands", "million", "millions", "billion", "billions", "trillion", "trillions", "bn", "mn", "mm", "mln", "bln", "tn", "b", "m", "k",
+    "crore", "crores", "lakh", "lakhs", "percent", "percentage", "points", "pp", "bps", "basis", "cent", "cents", "dozen", "dozens",
+}
+AMOUNT = SCALE - {"b", "m", "k", "mm", "mln", "bln", "pp", "points", "basis", "percentage"}
+COUNTS = {
+    "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty",
+    "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "half", "halves",
+}
+CURRENCIES = {"USD", "US$", "$", "RMB", "CNY", "HKD", "HK$", "EUR", "GBP", "JPY", "INR", "KRW", "CAD", "C$", "AUD", "A$", "CHF", "SGD", "BRL", "MXN", "SEK", "NOK", "DKK", "€", "£", "¥", "dollar", "dollars", "yuan", "euro", "euros", "yen", "won", "rupee", "rupees", "pound", "pounds", "franc", "francs", "peso", "pesos"}
+MULTIPLE = re.compile(r"doubl\w*|tripl\w*|quadrupl\w*|halv\w*|\w+fold|twice|thrice")
+QUOTE_LEAST, QUOTE_MOST = 20, 500
+SPLIT_CELLS = ((re.compile(r"(?<=\d)[ \t]*\|[ \t]*\)"), ")"), (re.compile(r"(?<=[\d)])[ \t]*\|[ \t]*%(?=[ \t]*(?:\)|\||\n|$))"), "%"), (re.compile(r"\$[ \t]*\|[ \t]*(?=[\d(])"), "$"))
+
+
+def one_spaced(text: str) -> str:
+    """Figures that a table split over cells joined, white space collapsed."""
+    for pattern, joined in SPLIT_CELLS:
+        text = pattern.sub(joined, text)
+    return " ".join(text.split())
+
+
+def quote_spans(quote: str, text: str) -> list[tuple[int, int]]:
+    """Occurrences of a quote that cut no word or number at either end."""
+    joins = lambda i, step: 0 <= i < len(text) and (text[i].isalnum() or (text[i] in ".," and 0 <= i + step < len(text) and text[i + step].isdigit()))
+    spans = [(m.start(), m.start() + len(quote)) for m in re.finditer(f"(?={re.escape(quote)})", text)] if quote else []
+    return [(a, z) for a, z in spans if not (quote[0].isalnum() and joins(a - 1, -1)) and not (quote[-1].isalnum() and joins(z, 1))]
+
+
+def number_shapes(words: Sequence[str]) -> tuple[set[str], set[str], list[str]]:
+    """(figures as written, with the scale word after them; currencies and counts in words; amounts without a figure)."""
+    shapes, terms, orphans = set(), set(), []
+    bare = [w.strip("()").rstrip(".,;:!?*†‡§").strip("()") for w in words]
+    for i, w in enumerate(bare):
+        low = w.lower()
+        if any(c.isdigit() for c in w):
+            figure = re.sub(r"\d[\d,]*(?:\.\d+)?", lambda m: re.sub(r"(\.\d*?)0+$", r"\1", m[0].replace(",", "")).rstrip(".") if "." in m[0] else m[0].replace(",", ""), w)
+            after = bare[i + 1].lower() if i + 1 < len(bare) and words[i][-1] not in ".,;:!?" else ""
+            shapes.add(figure + "%" if after == "percent" else f"{figure} {after}" if after in SCALE else figure)
+            continue
+        if w in CURRENCIES or low in CURRENCIES:
+            terms.add(low)
+        for part in low.split("-"):
+            if part in COUNTS:
+                terms.add(part)
+        led = i > 0 and any(c.isdigit() for c in bare[i - 1])
+        if (low in AMOUNT and not led) or MULTIPLE.fullmatch(low):
+            orphans.append(w)
+    return shapes, terms, orphans
+
+
+def citation_fault(claim: str | None, quote: str | None, chunk: str | None, visible: bool, same_entity: bool) -> str | None:
+    """The first check that a citation fails, or None: visible, same entity, quoted, length, found, numbers."""
+    if not visible or chunk is None:
+        return "not_visible"
+    if not same_entity:
+        return "entity_mismatch"
+    if quote is None:
+        return "missing_quote"
+    quote, text = one_spaced(quote), one_spaced(chunk)
+    if len(quote) < QUOTE_LEAST:
+        return "quote_too_short"
+    if len(quote) > QUOTE_MOST:
+        return "quote_too_long"
+    spans = quote_spans(quote, text)
+    if not spans:
+        return "quote_not_in_chunk"
+    shapes, terms, orphans = number_shapes(one_spaced(claim or "").split(" "))
+    if orphans:
+        return "unchecked_number"
+    for a, z in spans:  # whole words of the chunk, so that a cut figure or its scale still counts
+        lo, hi = text.rfind(" ", 0, a) + 1, text.find(" ", z)
+        more = text[hi + 1 :].split(" ", 1)[0] if hi >= 0 else ""
+        seen, said, _ = number_shapes([*text[lo : hi if hi >= 0 else len(text)].split(" "), *([more] if more else [])])
+        if shapes <= seen | {s.split(" ")[0] for s in seen} and terms <= said:
+            return None
+    return "number_not_in_quote"
+
+
+def checked_citations(rows: DataFrame) -> DataFrame:
+    """rows (claim, quote, chunk, visible, same_entity) with `fault`."""
+
+    @F.pandas_udf("string")
+    def fault(claim: pd.Series, quote: pd.Series, chunk: pd.Series, visible: pd.Series, same: pd.Series) -> pd.Series:
+        return pd.Series([citation_fault(*x) for x in zip(claim, quote, chunk, visible, same, strict=True)], dtype=object)
+
+    return rows.withColumn("fault", fault("claim", "quote", "chunk", "visible", "same_entity"))
