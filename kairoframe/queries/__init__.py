@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pit", "joins", "aggregates", "windows", "audit", "text", "identity")
+MODULES = ("pit", "joins", "aggregates", "windows", "audit", "text", "identity", "simulation", "statistics", "sources")
 
 
 def load() -> None:
