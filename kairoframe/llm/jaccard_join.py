@@ -293,20 +293,58 @@ def _blocks(rows: DataFrame, key: str, salt: str) -> DataFrame:
     return rows.withColumn("own", own).select("*", F.inline(pairs)).withColumn("half", (F.col("own") == F.col("i")).cast("int"))
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict[str, list], list[tuple[int, int]]]]:
+    """Columns and the bounds of the groups in them, from rows sorted by keys; a group is never divided."""
+    held: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = now if held is None else pa.concat_tables([held, now])
+        if not now.num_rows:
+            continue
+        columns = [now.column(k).to_numpy() for k in keys]
+        change = np.zeros(now.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.nonzero(change)[0] + 1).tolist()]
+        held = now.slice(cuts[-1])
+        if len(cuts) > 1:
+            yield {n: now.column(n).slice(0, cuts[-1]).to_pylist() for n in now.column_names}, list(zip(cuts, cuts[1:], strict=False))
+    if held is not None and held.num_rows:
+        yield {n: held.column(n).to_pylist() for n in held.column_names}, [(0, held.num_rows)]
+
+
 def _rest_of_tiles(crowded: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """a, b: pairs that may link in tiles whose members are in different components so far."""
-    marked = crowded.join(labels.withColumnRenamed("node", "lo"), "lo", "left").select("tile", "lo", F.coalesce("label", "lo").alias("label"))
+    """a, b: pairs that may link in tiles whose members are in different components so far.
+
+    Pairs with a tile's least member were looked at before, so tiles of two are done, and so are tiles whose other
+    members are all in one component.
+    """
+    marked = crowded.join(labels.withColumnRenamed("node", "lo"), "lo", "left").filter("lo <> first").select("tile", "lo", F.coalesce("label", "lo").alias("label"))
     open_tiles = marked.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("members")).filter("x <> y")
     rows = marked.join(open_tiles.select("tile", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks")), "tile")
     rows = _blocks(rows, "tile", "lo").join(sets.select("lo", "n", "bits"), "lo")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        halves = pdf["half"].to_numpy() if (pdf["i"] != pdf["j"]).any() else None
-        links = spread(pdf["n"].to_numpy(np.int64), pdf["bits"].tolist(), pdf["label"].to_numpy(), rule, _passes, halves)
-        lo = pdf["lo"].to_numpy()
-        return pd.DataFrame({"a": [lo[i] for i, _ in links], "b": [lo[j] for _, j in links]}, dtype="int64")
-
-    return rows.groupBy("tile", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, bounds in grouped(batches, ["tile", "i", "j"]):
+            a, b, lo = [], [], c["lo"]
+            for x, y in bounds:
+                if y - x == 2:  # most tiles; the general way gives the same
+                    w = min(len(c["bits"][x]), len(c["bits"][x + 1]))
+                    if (c["i"][x] == c["j"][x] or c["half"][x] != c["half"][x + 1]) and c["label"][x] != c["label"][x + 1] and (
+                        int(np.bitwise_count(folded(c["bits"][x], w) ^ folded(c["bits"][x + 1], w)).sum()) <= rule.most_different(c["n"][x], c["n"][x + 1])
+                    ):
+                        a.append(lo[x])
+                        b.append(lo[x + 1])
+                    continue
+                halves = np.array(c["half"][x:y]) if c["i"][x] != c["j"][x] else None
+                for p, q in spread(np.array(c["n"][x:y], np.int64), c["bits"][x:y], np.array(c["label"][x:y]), rule, _passes, halves):
+                    a.append(lo[x + p])
+                    b.append(lo[x + q])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    keys = ["tile", "i", "j"]
+    dealt = rows.select(*keys, "half", "lo", "label", "n", "bits").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _candidate_sets(docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
