@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import chat_format, decontaminate, fingerprints, jaccard_join, language_id, lm_scoring, mixing, quality, secret_scan, token_output
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -16,6 +19,3 @@ QUERIES = {
     "op9_language_id": language_id.op9,
     "op10_chat_format": chat_format.op10,
 }
-
-#: SQL twins, where SQL can express an operator.
-ORACLES: dict[str, str] = {}
