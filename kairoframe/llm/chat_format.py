@@ -51,15 +51,24 @@ def _mask(parts: Column) -> Column:
 def preference(turns: DataFrame) -> DataFrame:
     """turns: pair, side ('chosen' or 'rejected'), turn, role, text -> pair, block, prompt, chosen, rejected, chosen_mask, rejected_mask, prompt_turns."""
     empty = F.lit("")
-    rows = turns.select("pair", "side", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    same_place = Window.partitionBy("pair", "side", "turn").orderBy("role", "text")
-    rows = rows.withColumn("nth", F.row_number().over(same_place))
+    # A null pair is a key of its own, so keys compare by plain equality; all steps but the first place that differs
+    # run inside one dealing by (pair, block).
+    kind = turns.schema["pair"].dataType
+    none = F.lit(0 if "long" in kind.typeName() or "int" in kind.typeName() else "").cast(kind)
+    key = ["_pair", "_null", "block"]
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
+    rows = turns.select(
+        F.coalesce("pair", none).alias("_pair"), F.col("pair").isNull().alias("_null"), F.floor(turn / BLOCK).cast("long").alias("block"),
+        "side", turn.alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"),
+    ).repartition(*key)
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "side", "turn").orderBy("role", "text")))
     of = lambda side: F.max(F.when(F.col("side") == side, F.struct("role", "text"))).alias(side)
-    places = rows.groupBy("pair", "turn", "nth").agg(of("chosen"), of("rejected"))
+    places = rows.groupBy(*key, "turn", "nth").agg(of("chosen"), of("rejected"))
     place = F.struct("turn", "nth")
     differs = F.col("chosen").isNull() | F.col("rejected").isNull() | (F.col("chosen") != F.col("rejected"))
-    first = places.groupBy("pair").agg(F.min(F.when(differs, place)).alias("first")).withColumnRenamed("pair", "of_pair")
-    placed = places.join(first, F.col("pair").eqNullSafe(F.col("of_pair")))
+    apart = places.groupBy(*key).agg(F.min(F.when(differs, place)).alias("first"))
+    first = apart.groupBy("_pair", "_null").agg(F.min("first").alias("first"))
+    placed = places.join(apart.select(*key).join(first, ["_pair", "_null"]), key)
     common = F.col("first").isNull() | (place < F.col("first"))
     head = lambda x: F.when(x["role"] == TRAINED, F.length(x["role"]) + len(OPEN) + len(AFTER_ROLE)).otherwise(-1)
 
@@ -67,10 +76,9 @@ def preference(turns: DataFrame) -> DataFrame:
         return F.struct("turn", "nth", rendered(x["role"], x["text"]).alias("s"), head(x).cast("long").alias("head"))
 
     gather = lambda when, x: F.array_sort(F.collect_list(F.when(when & x.isNotNull(), piece(x))))
-    blocks = placed.groupBy("pair", F.floor(F.col("turn") / BLOCK).cast("long").alias("block")).agg(
-        gather(common, F.col("chosen")).alias("p"), gather(~common, F.col("chosen")).alias("c"), gather(~common, F.col("rejected")).alias("r")
-    )
-    return blocks.select("pair", "block", _joined(F.col("p")).alias("prompt"), _joined(F.col("c")).alias("chosen"), _joined(F.col("r")).alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"), F.size("p").cast("long").alias("prompt_turns"))
+    blocks = placed.groupBy(*key).agg(gather(common, F.col("chosen")).alias("p"), gather(~common, F.col("chosen")).alias("c"), gather(~common, F.col("rejected")).alias("r"))
+    pair = F.when(~F.col("_null"), F.col("_pair")).alias("pair")
+    return blocks.select(pair, "block", _joined(F.col("p")).alias("prompt"), _joined(F.col("c")).alias("chosen"), _joined(F.col("r")).alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"), F.size("p").cast("long").alias("prompt_turns"))
 
 
 def counterparts(conversations: DataFrame) -> DataFrame:
