@@ -221,3 +221,97 @@ def replay(decisions: DataFrame, bars: DataFrame, rules: LegRules, equity: float
 
     renamed = wanted.withColumnRenamed("_s", "security_id")
     return renamed.groupBy("run_id").cogroup(held.groupBy("run")).applyInPandas(run, "run_id long, decision_id long, entry_day date, exit_day date, reason string, shares long, pnl double, equity double")
+
+
+@dataclass(frozen=True)
+class ReentryRules:
+    window: int = 10
+    count: int = 1
+    shared: bool = True
+
+
+DECISION_SCHEMA = "decision_id long, leg long, entry_day date, entry_price double, exit_day date, exit_price double, reason string, shares long, pnl double, r_multiple double, held long, mae_pct double, mfe_pct double"
+
+
+def run_decision(days: Sequence, bars: Sequence[tuple[float, float, float, float]], pre_close: float, atr: float, shares: int, budget: float, rules: LegRules, again: ReentryRules) -> tuple[list[dict], str | None]:
+    """(closed legs, why nothing was bought). days[0] is the reaction session; the first leg is bought at the next open.
+
+    The level is the close before the event. An open at or below its zone cancels the order. After the first leg, while
+    no close has been under the zone and the window lasts, a bar that comes down to the zone's top and closes at or above it
+    orders a second leg, of what the first left of the budget.
+    """
+    if not bars or not atr > 0 or shares < 1:
+        return [], "no_size"
+    width = min(rules.zone_atr * atr, rules.zone_cap_pct / 100 * pre_close)
+    bottom, top = pre_close - width, pre_close + width
+    stop = pre_close - rules.hard_atr * atr
+    invalid, legs, order, leg, since, waiting, entries = bars[0][3] < bottom, [], shares, None, None, False, 0
+    for i, bar in enumerate(bars[1:], 1):
+        o, h, lo, c = bar
+        if order:
+            if o <= bottom:
+                return legs, None if legs else "entry_below_zone"
+            leg, since, entries = Leg(key=pre_close, atr=atr, entry=o * (1 + rules.bps / 1e4), shares=order, first_key=stop, highest=pre_close), days[i], entries + 1
+            order = 0
+        if leg is not None:
+            leg, fill = step(leg, bar, rules)
+            if fill:
+                price, reason = fill
+                seen_low, seen_high = (min(leg.low, o), max(leg.high, o)) if reason == "hard" else (leg.low, leg.high)
+                low, high = min(seen_low, price), max(seen_high, price)
+                legs.append({
+                    "leg": entries, "entry_day": since, "entry_price": leg.entry, "exit_day": days[i], "exit_price": price, "reason": reason, "shares": leg.shares, "pnl": leg.shares * (price - leg.entry),
+                    "r_multiple": (price - leg.entry) / (leg.entry - leg.first_key), "held": leg.held + 1, "mae_pct": 100 * (low / leg.entry - 1), "mfe_pct": 100 * (high / leg.entry - 1),
+                })
+                leg, waiting = None, entries <= again.count and not invalid
+                if not waiting:
+                    return legs, None
+        invalid = invalid or c < bottom
+        if waiting:
+            if invalid or i > again.window:
+                return legs, None
+            if lo <= top <= c:
+                left = budget - max(0.0, -sum(x["pnl"] for x in legs)) if again.shared else budget
+                order, waiting = (math.floor(left / (c - stop) + EPS) if left > 0 and c > stop else 0), False
+                if not order:
+                    return legs, None
+    return legs, None
+
+
+def simulated_decisions(decisions: DataFrame, bars: DataFrame, rules: LegRules, again: ReentryRules) -> DataFrame:
+    """decisions (decision_id, security_id, day, pre_close, atr, shares, budget) against bars from the day on."""
+    d = decisions.select("decision_id", F.col("security_id").alias("_s"), "day", "pre_close", "atr", "shares", "budget")
+    span = 4 * (rules.max_sessions + again.window) + 20  # calendar days that hold so many sessions
+    rows = d.join(bars.select("security_id", "session_date", "open", "high", "low", "close"), (F.col("_s") == F.col("security_id")) & (F.col("session_date") >= F.col("day")) & (F.col("session_date") <= F.date_add("day", span)))
+    names = [c.split(" ")[0] for c in DECISION_SCHEMA.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("session_date")
+        first = pdf.iloc[0]
+        legs, _ = run_decision(pdf["session_date"].tolist(), list(pdf[["open", "high", "low", "close"]].itertuples(index=False, name=None)), float(first["pre_close"]), float(first["atr"]), int(first["shares"]), float(first["budget"]), rules, again)
+        return pd.DataFrame([{"decision_id": first["decision_id"], **x} for x in legs], columns=names)
+
+    return rows.groupBy("decision_id").applyInPandas(run, DECISION_SCHEMA)
+
+
+def run_tranches(days: Sequence, bars: Sequence[tuple[float, float, float, float]], flags: Sequence[tuple[bool, ...]], names: Sequence[str], shares: int, bps: float = BPS) -> list[dict]:
+    """Bought at the first open; each exit flag that first rises at a close sells a tranche at the next open: the shares
+    left over the number of exits that have not sold, all with the last."""
+    out, left, fired, pending = [], shares, set(), []
+    entry = bars[0][0] * (1 + bps / 1e4) if bars else 0.0
+    for i, (bar, now) in enumerate(zip(bars, flags, strict=True)):
+        for reason in pending:
+            if left:
+                todo = len(names) - len(out)
+                n = left if todo <= 1 else math.floor(left / todo + EPS) or left
+                price = bar[0] * (1 - bps / 1e4)
+                left -= n
+                out.append({"day": days[i], "reason": reason, "shares": n, "price": price, "pnl": n * (price - entry)})
+        pending = []
+        if not left:
+            break
+        for name, up in zip(names, now, strict=True):
+            if up and name not in fired:
+                fired.add(name)
+                pending.append(name)
+    return out

@@ -94,3 +94,13 @@ def signal_scan(w: World):
     rows = rows.filter((F.col("gap") >= 0.04 - 1e-9) & (F.col("volume") >= 2 * F.col("pv")) & (F.col("pc") >= 5 - 1e-6))
     place = F.row_number().over(Window.partitionBy("session_date").orderBy(F.desc("gap"), "symbol")).cast("long")
     return rows.select("symbol", "session_date", tidy(F.col("gap")).alias("gap"), place.alias("place"))
+
+
+@query("decision_legs")
+def decision_legs(w: World):
+    from pyspark.sql import Window
+
+    o = Window.partitionBy("security_id").orderBy("session_date")
+    rows = windows.inclusive_atr(resolved(w)).withColumn("pre_close", F.lag("close").over(o)).filter("signal_atr is not null and day(session_date) in (10, 20)")
+    made = rows.select(F.abs(F.xxhash64("security_id", "session_date")).alias("decision_id"), "security_id", F.col("session_date").alias("day"), "pre_close", (F.col("signal_atr") / 4).alias("atr"), F.lit(50).cast("long").alias("shares"), F.lit(1e6).alias("budget"))
+    return simulation.simulated_decisions(made, resolved(w), simulation.LegRules(max_sessions=20), simulation.ReentryRules())

@@ -161,3 +161,26 @@ def test_parsers_and_writes(spark, tmp_path):
         tables.read_strict(spark, path, rows([]).schema.add("more", "string"))
     assert tables.missing_partitions(tables.plan_partitions("2020-01-01", "2021-02-01", "AB"), spark.createDataFrame([(2020, "A", True), (2021, "B", False)], "year long, bucket string, complete boolean")) == [(2020, "B"), (2021, "A"), (2021, "B")]
     assert tables.request_key({"b": 1, "a": "é"}) == tables.request_key({"a": "é", "b": 1})
+
+
+def test_two_legs_and_cancelled_entries():
+    rules, again = simulation.LegRules(zone_atr=0.5, zone_cap_pct=10.0, hard_atr=1.5, observe_days=2, trail_atr=3.0, max_sessions=9, bps=0.0), simulation.ReentryRules(window=6)
+    days = [D(2020, 1, i + 1) for i in range(12)]
+    run = lambda bars: simulation.run_decision(days[: len(bars)], bars, 100.0, 2.0, 10, 60.0, rules, again)
+    assert run([(104, 105, 103, 104), (98.5, 99, 98, 98)]) == ([], "entry_below_zone")
+    # the first leg is stopped within the day, the close holds the zone; a bar that touches its top and closes above buys again
+    legs, why = run([(104, 105, 103, 104), (102, 103, 96, 101.5), (101.5, 102, 100.5, 101.5), (102, 104, 101.2, 103), (97, 98, 96, 97)])
+    assert why is None and [(x["leg"], x["reason"], x["shares"]) for x in legs] == [(1, "hard", 10), (2, "hard_gap", 2)]
+    assert legs[0]["exit_price"] == 97.0 and legs[0]["pnl"] == -50.0 and legs[1]["entry_price"] == 101.5  # ordered on the bar of the stop
+    # a close under the zone forbids a second leg
+    legs, _ = run([(104, 105, 103, 104), (102, 103, 96, 98), (101.5, 102, 100.5, 101.5), (102, 104, 101, 103)])
+    assert len(legs) == 1
+    assert simulation.run_decision([], [], 100.0, 2.0, 10, 1.0, rules, again) == ([], "no_size")
+
+
+def test_tranches_sell_once_for_each_flag():
+    days, bars = [D(2020, 1, i + 1) for i in range(6)], [(10 + i, 11 + i, 9 + i, 10 + i) for i in range(6)]
+    flags = [(False, False), (True, False), (True, False), (True, True), (True, True), (True, True)]
+    sold = simulation.run_tranches(days, bars, flags, ("red", "down"), 7, 0.0)
+    assert [(x["day"].day, x["reason"], x["shares"], x["price"]) for x in sold] == [(3, "red", 3, 12.0), (5, "down", 4, 14.0)]
+    assert simulation.run_tranches(days, bars, [(True, True)] * 6, ("red", "down"), 1, 0.0)[0]["shares"] == 1
