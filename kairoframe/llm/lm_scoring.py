@@ -54,6 +54,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+class Numbers(dict):
+    """Words in order of first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _strings(words) -> pa.Array:
     return pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
 
@@ -139,17 +147,20 @@ def score(docs: DataFrame, counts: DataFrame, totals: Totals, logp: np.ndarray,
     def run(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         words = words.sort_values("at")
         count, value = words["c"].fillna(0).to_numpy(float), words["logp"].to_numpy(float, copy=True)
-        ordered = sorted({w for t in texts["text"] for w in words_of(t)})
+        numbers = Numbers()
+        texts_at = [np.fromiter(map(numbers.__getitem__, words_of(t)), np.int32) for t in texts["text"]]
+        ordered = sorted(numbers)
+        place = np.empty(len(ordered), np.int32)  # from a word's number to its place in order, which the answers go by
+        place[[numbers[w] for w in ordered]] = np.arange(len(ordered), dtype=np.int32)
         unknown = np.nonzero(np.isnan(value))[0]
         if len(unknown):
             value[unknown] = lattice.log_likelihood(lattice.Pieces(vocabulary), model.value[:-1, None], [ordered[i].decode("utf-8", "replace") for i in unknown])[:, 0] / LN10
-        place = dict(zip(ordered, range(len(ordered)), strict=True))
-        base, out = np.log10(count + SMOOTHING), []
+        base, out = np.log10(count + SMOOTHING)[place], []
+        known, value = (count > 0)[place], value[place]
         end_base, end_value = math.log10(totals.texts + SMOOTHING), float(model.value[-1]) / LN10
-        for t in texts["text"]:
-            w = words_of(t)
-            at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-            out.append((len(w) + 1, int((count[at] > 0).sum()) + (totals.texts > 0), math.fsum(base[at]) + end_base - (len(w) + 1) * norm, math.fsum(value[at]) + end_value))
+        for at in texts_at:
+            n_tokens = len(at) + 1
+            out.append((n_tokens, int(known[at].sum()) + (totals.texts > 0), float(base[at].sum()) + end_base - n_tokens * norm, float(value[at].sum()) + end_value))
         made = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
         made.insert(0, "doc_id", texts["doc_id"].astype("Int64").to_numpy())
         return made
