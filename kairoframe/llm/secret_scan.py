@@ -45,7 +45,8 @@ VERSION = "rules-1"
 SALTS = 16
 
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
-LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("version", T.StringType()), T.StructField("found", T._parse_datatype_string(SPANS))])
+SPAN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "kind", "stop")])
+LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("version", T.StringType()), T.StructField("found", T.ArrayType(SPAN))])
 
 
 def matches(text: Column, kind: int, rule: tuple) -> Column:
