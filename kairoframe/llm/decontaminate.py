@@ -32,7 +32,7 @@ from .jaccard_join import Hashes, mix
 
 #: The masks; 1 marks a word that is compared.
 MASKS = ("1111011101", "1101110111", "1011111011", "1110101111")
-SPAN, LEAST, SAME, SHORT, BLOCK = 10, 12, 0.8, 5, 2_000_000
+SPAN, LEAST, SAME, SHORT, BLOCK = 10, 12, 0.8, 5, 250_000
 _DROP = 6
 _FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64)) for k in range(SPAN)]
 _TAG_BITS = 22
