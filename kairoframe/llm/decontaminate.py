@@ -85,17 +85,18 @@ class Index:
         best: dict[int, tuple[int, int, int, int]] = {}
         if not len(self.keys):
             return best
-        tried = set()
+        covered: dict[tuple[int, int], list[tuple[int, int]]] = {}  # (item, alignment) -> verified overlaps in the text
         for mask in self.masks:
             k = windows(h, mask)
             for at in np.nonzero(self.tags[k >> np.uint64(64 - _TAG_BITS)])[0].tolist():
                 lo, hi = np.searchsorted(self.keys, k[at], "left"), np.searchsorted(self.keys, k[at], "right")
                 for j in range(lo, hi):
                     i, p = int(self.item[j]), int(self.place[j])
-                    if (i, at - p, at // SPAN) in tried:  # the same alignment, nearby
+                    if any(a <= at < z for a, z in covered.get((i, at - p), ())):
                         continue
-                    tried.add((i, at - p, at // SPAN))
                     found = extended(h, self.words[i], at, p, len(mask))
+                    if found:
+                        covered.setdefault((i, at - p), []).append((found[1], found[1] + found[3]))
                     if found and (i not in best or (found[0], -found[1], -found[2]) > (best[i][0], -best[i][1], -best[i][2])):
                         best[i] = found
         return best
