@@ -27,6 +27,13 @@ class Dialect:
         """Days from start to end."""
         return f"cast(datediff({end}, {start}) as bigint)" if self.spark else f"date_diff('day', {start}, {end})"
 
+    def first(self, value: str, order: str) -> str:
+        """The value of the row that is first in order."""
+        return f"min_by({value}, struct({order}))" if self.spark else f"arg_min({value}, ({order}))"
+
+    def last(self, value: str, order: str) -> str:
+        return f"max_by({value}, struct({order}))" if self.spark else f"arg_max({value}, ({order}))"
+
     def plus(self, day: str, n: str) -> str:
         return f"date_add({day}, cast({n} as int))" if self.spark else f"cast({day} + cast({n} as integer) as date)"
 
@@ -36,8 +43,7 @@ EPOCH = "date '1992-01-01'"
 
 def _bars(d: Dialect) -> str:
     key = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"
-    back = ", ".join(f"{x} desc" for x in key.split(", "))
-    day = "cast(l_shipdate as date)"
+    price = "l_extendedprice / l_quantity"
     return f"""
     select concat('S', k) as symbol, k, {d.ts('session_date')} as t, session_date, open,
            case when k % 11 = 3 and n % 97 = 0 then low * 0.9 else high end as high, low, close,
@@ -46,14 +52,11 @@ def _bars(d: Dialect) -> str:
            {d.ts('session_date')} + interval 20 hour as available_at,
            {d.ts('session_date')} + case when n % 101 = 0 then interval 19 hour else interval 22 hour end as fetched_at,
            cast(case when n % 211 = 0 then 1991 else year(session_date) end as bigint) as year, 'vendor' as source
-    from (select k, session_date, max(case when rn = 1 then price end) as open, max(price) as high, min(price) as low,
-                 max(case when rd = 1 then price end) as close, sum(q) as volume, count(*) as trade_count,
-                 {d.days(EPOCH, 'session_date')} + k as n
-          from (select l_suppkey as k, {day} as session_date, l_extendedprice / l_quantity as price, cast(l_quantity as bigint) as q,
-                       row_number() over (partition by l_suppkey, {day} order by {key}) as rn,
-                       row_number() over (partition by l_suppkey, {day} order by {back}) as rd
-                from {{lineitem}} where l_quantity > 0) x
-          group by k, session_date) y"""
+    from (select l_suppkey as k, cast(l_shipdate as date) as session_date, {d.first(price, key)} as open, max({price}) as high, min({price}) as low,
+                 {d.last(price, key)} as close, sum(cast(l_quantity as bigint)) as volume, count(*) as trade_count,
+                 {d.days(EPOCH, 'cast(l_shipdate as date)')} + l_suppkey as n
+          from {{lineitem}} where l_quantity > 0
+          group by l_suppkey, cast(l_shipdate as date)) y"""
 
 
 def _imported(d: Dialect) -> str:
