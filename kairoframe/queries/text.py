@@ -91,16 +91,16 @@ def periodic_gaps(w: World):
     return rows.withColumn("gap", F.datediff("nxt", "filed").cast("long")).filter("gap > 60")
 
 
-@query("stale_reports", "select cik, max(filed) as last_filed, date_diff('day', max(filed), date '1998-12-31') as age from [facts] where form in ('10-K', '20-F') group by cik having date_diff('day', max(filed), date '1998-12-31') > 20")
+@query("stale_reports", "select cik, max(filed) as last_filed, date_diff('day', max(filed), date '2001-09-05') as age from [facts] where form in ('10-K', '20-F') group by cik having date_diff('day', max(filed), date '2001-09-05') > 36")
 def stale_reports(w: World):
     rows = w.facts.filter("form in ('10-K', '20-F')").groupBy("cik").agg(F.max("filed").alias("last_filed"))
-    return rows.withColumn("age", F.datediff(F.lit("1998-12-31").cast("date"), "last_filed").cast("long")).filter("age > 20")
+    return rows.withColumn("age", F.datediff(F.lit("2001-09-05").cast("date"), "last_filed").cast("long")).filter("age > 36")
 
 
-@query("coverage_gaps", "select cik, kind from (select distinct cik from [facts]) c, (select unnest(['10-K', '20-F', '6-K']) as kind) k where not exists (select 1 from [facts] f where f.cik = c.cik and f.form = k.kind and f.filed >= date '1997-10-01')")
+@query("coverage_gaps", "select cik, kind from (select distinct cik from [facts]) c, (select unnest(['10-K', '20-F', '6-K']) as kind) k where not exists (select 1 from [facts] f where f.cik = c.cik and f.form = k.kind and f.filed >= date '2001-07-20')")
 def coverage_gaps(w: World):
     wanted = w.facts.select("cik").distinct().select("cik", F.explode(F.array(*[F.lit(x) for x in ("10-K", "20-F", "6-K")])).alias("kind"))
-    have = w.facts.filter("filed >= date'1997-10-01'").select("cik", F.col("form").alias("kind")).distinct()
+    have = w.facts.filter("filed >= date'2001-07-20'").select("cik", F.col("form").alias("kind")).distinct()
     return wanted.join(have, ["cik", "kind"], "left_anti")
 
 
