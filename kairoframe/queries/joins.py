@@ -22,18 +22,18 @@ def split_day_join(w: World):
     return w.bars.select("symbol", "session_date").join(days, ["symbol", "session_date"], "left").select("symbol", "session_date", F.coalesce("x", F.lit(False)).alias("split_day"))
 
 
-@query("as_of_backward", "select b.symbol, b.session_date, f.ex_date, f.new_rate from (select distinct symbol, session_date from [bars]) b asof left join (select symbol, ex_date, max(new_rate) as new_rate from [splits] group by symbol, ex_date) f on f.symbol = b.symbol and b.session_date >= f.ex_date")
+@query("as_of_backward", "with m as (select b.symbol, b.session_date, (select max(ex_date) from [splits] s where s.symbol = b.symbol and s.ex_date <= b.session_date) as ex_date from (select distinct symbol, session_date from [bars]) b) select m.*, (select max(new_rate) from [splits] s where s.symbol = m.symbol and s.ex_date = m.ex_date) as new_rate from m")
 def as_of_backward(w: World):
     right = w.splits.groupBy("symbol", "ex_date").agg(F.max("new_rate").alias("new_rate"))
     return joins.as_of_backward(w.bars.select("symbol", "session_date").distinct(), right, "symbol", "session_date", "ex_date", ["ex_date", "new_rate"])
 
 
-@query("as_of_forward", "select e.symbol, e.ex_date, b.session_date, b.close from (select distinct symbol, ex_date from [dividends]) e asof left join [bars] b on b.symbol = e.symbol and e.ex_date <= b.session_date")
+@query("as_of_forward", "with m as (select e.symbol, e.ex_date, (select min(session_date) from [bars] b where b.symbol = e.symbol and b.session_date >= e.ex_date) as session_date from (select distinct symbol, ex_date from [dividends]) e) select m.*, b.close from m left join [bars] b on b.symbol = m.symbol and b.session_date = m.session_date")
 def as_of_forward(w: World):
     return joins.as_of_forward(w.dividends.select("symbol", "ex_date").distinct(), w.bars, "symbol", "ex_date", "session_date", ["session_date", "close"])
 
 
-@query("as_of_forward_strict", "select e.symbol, e.ex_date, b.session_date from (select distinct symbol, ex_date from [splits]) e asof left join [bars] b on b.symbol = e.symbol and e.ex_date < b.session_date")
+@query("as_of_forward_strict", "select e.symbol, e.ex_date, (select min(session_date) from [bars] b where b.symbol = e.symbol and b.session_date > e.ex_date) as session_date from (select distinct symbol, ex_date from [splits]) e")
 def as_of_forward_strict(w: World):
     return joins.as_of_forward(w.splits.select("symbol", "ex_date").distinct(), w.bars, "symbol", "ex_date", "session_date", ["session_date"], strict=True)
 

@@ -178,8 +178,9 @@ def bx_histogram(w: World):
 
 @query("period_as_of", f"""with recursive {RESOLVED}, p as (select security_id, cast(date_trunc('month', session_date) as date) as period_start, min(session_date) as first_day, max(session_date) as period_end, arg_max(close, session_date) as close from resolved group by 1, 2),
     q as (select *, lead(first_day) over (partition by security_id order by period_start) as later, cast(last_day(period_start) - cast(greatest(0, isodow(last_day(period_start)) - 5) as integer) as date) as last_weekday from p),
-    c as (select security_id, case when period_end = last_weekday then period_end else later end as complete_on, close from q where period_end = last_weekday or later is not null)
-    select r.security_id, r.session_date, c.complete_on, c.close as month_close from (select distinct security_id, session_date from resolved) r asof left join c on c.security_id = r.security_id and r.session_date >= c.complete_on""")
+    c as (select security_id, case when period_end = last_weekday then period_end else later end as complete_on, close from q where period_end = last_weekday or later is not null),
+    m as (select r.security_id, r.session_date, (select max(complete_on) from c where c.security_id = r.security_id and c.complete_on <= r.session_date) as complete_on from (select distinct security_id, session_date from resolved) r)
+    select m.*, (select max(close) from c where c.security_id = m.security_id and c.complete_on = m.complete_on) as month_close from m""")
 def period_as_of(w: World):
     bars = resolved(w)
     months = aggregates.period_bars(bars, "month").select("security_id", "complete_on", F.col("close").alias("month_close"))
