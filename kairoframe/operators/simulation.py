@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import grouped_rows
+
 EPS, BPS = 1e-9, 5.0
 
 
@@ -145,12 +147,13 @@ def simulated_legs(decisions: DataFrame, bars: DataFrame, rules: LegRules) -> Da
     last = 2 * rules.max_sessions + 10  # calendar days are more than sessions
     rows = d.join(bars.select("security_id", "session_date", "open", "high", "low", "close"), (F.col("_s") == F.col("security_id")) & (F.col("session_date") >= F.col("day")) & (F.col("session_date") <= F.date_add("day", 2 * last)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session_date")
-        made = run_leg(pdf["session_date"].tolist(), list(pdf[["open", "high", "low", "close"]].itertuples(index=False, name=None)), float(pdf["atr"].iloc[0]), int(pdf["shares"].iloc[0]), rules)
-        return pd.DataFrame([{"decision_id": pdf["decision_id"].iloc[0], **made}] if made else [], columns=[c.split(" ")[0] for c in LEG_SCHEMA.split(", ")])
+    names = [c.split(" ")[0] for c in LEG_SCHEMA.split(", ")]
+
+    def run(g: dict[str, list]) -> list[tuple]:
+        made = run_leg(g["session_date"], list(zip(g["open"], g["high"], g["low"], g["close"], strict=True)), g["atr"][0], g["shares"][0], rules)
+        return [tuple(({"decision_id": g["decision_id"][0]} | made)[n] for n in names)] if made else []
 
-    return rows.groupBy("decision_id").applyInPandas(run, LEG_SCHEMA)
+    return grouped_rows(rows.drop("_s"), "decision_id", "session_date", run, LEG_SCHEMA)
 
 
 def buy_and_hold(bars: DataFrame, splits: DataFrame, dividends: DataFrame, key: str = "symbol") -> DataFrame:
@@ -285,13 +288,12 @@ def simulated_decisions(decisions: DataFrame, bars: DataFrame, rules: LegRules,
     rows = d.join(bars.select("security_id", "session_date", "open", "high", "low", "close"), (F.col("_s") == F.col("security_id")) & (F.col("session_date") >= F.col("day")) & (F.col("session_date") <= F.date_add("day", span)))
     names = [c.split(" ")[0] for c in DECISION_SCHEMA.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session_date")
-        first = pdf.iloc[0]
-        legs, _ = run_decision(pdf["session_date"].tolist(), list(pdf[["open", "high", "low", "close"]].itertuples(index=False, name=None)), float(first["pre_close"]), float(first["atr"]), int(first["shares"]), float(first["budget"]), rules, again)
-        return pd.DataFrame([{"decision_id": first["decision_id"], **x} for x in legs], columns=names)
+    def run(g: dict[str, list]) -> list[tuple]:
+        bars_of = list(zip(g["open"], g["high"], g["low"], g["close"], strict=True))
+        legs, _ = run_decision(g["session_date"], bars_of, g["pre_close"][0], g["atr"][0], g["shares"][0], g["budget"][0], rules, again)
+        return [tuple(({"decision_id": g["decision_id"][0]} | x)[n] for n in names) for x in legs]
 
-    return rows.groupBy("decision_id").applyInPandas(run, DECISION_SCHEMA)
+    return grouped_rows(rows.drop("_s"), "decision_id", "session_date", run, DECISION_SCHEMA)
 
 
 def run_tranches(days: Sequence, bars: Sequence[tuple[float, float, float, float]], flags: Sequence[tuple[bool, ...]], names: Sequence[str], shares: int, bps: float = BPS) -> list[dict]:

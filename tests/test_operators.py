@@ -184,3 +184,17 @@ def test_tranches_sell_once_for_each_flag():
     sold = simulation.run_tranches(days, bars, flags, ("red", "down"), 7, 0.0)
     assert [(x["day"].day, x["reason"], x["shares"], x["price"]) for x in sold] == [(3, "red", 3, 12.0), (5, "down", 4, 14.0)]
     assert simulation.run_tranches(days, bars, [(True, True)] * 6, ("red", "down"), 1, 0.0)[0]["shares"] == 1
+
+
+def test_groups_are_whole_whatever_the_batches(spark):
+    from kairoframe.operators.grouped import grouped_rows
+
+    rows = [(k, i, float(k * i)) for k in range(7) for i in range(1 + 3 * k)]
+    df = spark.createDataFrame(rows, "k long, i long, x double").orderBy(F.desc("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = grouped_rows(df, "k", "i", lambda g: [(g["k"][0], len(g["i"]), g["i"] == sorted(g["i"]))], "k long, n long, ordered boolean").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in got) == [(k, 1 + 3 * k, True) for k in range(7)]
+    assert grouped_rows(df.limit(0), "k", "i", lambda g: [(1, 1, True)], "k long, n long, ordered boolean").count() == 0
