@@ -145,15 +145,21 @@ def _together(pieces: Pieces, logp: np.ndarray, spelt: dict, words: list[str], n
     return a
 
 
+def _hits(pieces: Pieces, codes: np.ndarray):
+    """(length, starts, ids) of the pieces in one word."""
+    n = len(codes)
+    h = np.zeros(n, np.uint64)
+    for length in range(1, min(pieces.longest, n) + 1):
+        h = _roll(h[: n - length + 1], codes[length - 1 :])
+        yield length, *pieces.find(h)
+
+
 def _alone(pieces: Pieces, logp: np.ndarray, spelt: dict, word: str) -> np.ndarray:
     n, m = len(word), logp.shape[1]
     codes = _chars([word], n)[0]
     found: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-    h = np.zeros(n, np.uint64)
     single = np.zeros(n, bool)
-    for length in range(1, min(pieces.longest, n) + 1):
-        h = _roll(h[: n - length + 1], codes[length - 1 :])
-        at, ids = pieces.find(h)
+    for length, at, ids in _hits(pieces, codes):
         if length == 1:
             single[at] = True
         for i, p in zip(at.tolist(), ids.tolist(), strict=True):
@@ -168,12 +174,49 @@ def _alone(pieces: Pieces, logp: np.ndarray, spelt: dict, word: str) -> np.ndarr
     return a[n]
 
 
+def _log_add(x: float, y: float) -> float:
+    if x < y:
+        x, y = y, x
+    return x + math.log1p(math.exp(y - x))
+
+
+def _count_alone(pieces: Pieces, logp: np.ndarray, word: str, weight: float, counts: np.ndarray) -> None:
+    """Adds one word's expected uses to counts."""
+    n = len(word)
+    codes = _chars([word], n)[0]
+    hits = list(_hits(pieces, codes))
+    single = np.zeros(n, bool)
+    single[hits[0][1]] = True
+    rest = np.nonzero(~single)[0]
+    spelt, back = np.unique(codes[rest], return_inverse=True)
+    value = np.array([sum(logp[p] for p in pieces.spelt(chr(c))) for c in spelt])
+    ids = np.concatenate([h[2] for h in hits])
+    start = np.concatenate([*(h[1] for h in hits), rest])
+    end = np.concatenate([*(h[1] + h[0] for h in hits), rest + 1])
+    edge = np.concatenate([logp[ids], value[back]])
+    order = np.argsort(start, kind="stable")
+    edges = list(zip(start[order].tolist(), end[order].tolist(), edge[order].tolist(), strict=True))
+    a, b = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    a[0] = b[n] = 0.0
+    for i, j, x in edges:
+        a[j] = _log_add(a[i] + x, a[j])
+    for i, j, x in reversed(edges):
+        b[i] = _log_add(x + b[j], b[i])
+    share = np.exp(np.array(a)[start] + edge + np.array(b)[end] - a[n]) * weight
+    counts += np.bincount(ids, share[: len(ids)], pieces.size)
+    for c, total in zip(spelt, np.bincount(back, share[len(ids) :], len(spelt)), strict=True):
+        for p in pieces.spelt(chr(c)):
+            counts[p] += total
+
+
 def expected_counts(pieces: Pieces, logp: np.ndarray, words: list[str], weights: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece over all segmentations (one model); weights: counts of the words."""
     counts = np.zeros(pieces.size)
     one = logp.reshape(-1, 1)
     for n, members in _groups(words).items():
-        if n > LONG:  # no learning from very long strings: they are no words of a language
+        if n > LONG:
+            for i in members:
+                _count_alone(pieces, logp, MARK + words[i], weights[i], counts)
             continue
         step = max(1, GROUP // n)
         for lo in range(0, len(members), step):

@@ -65,6 +65,25 @@ def test_lattice_against_all_segmentations():
     assert 2 <= counts.sum() <= 8
 
 
+def test_long_words_are_counted(monkeypatch):
+    """Words of over LONG characters, done alone, count as words of equal length done together do."""
+    pieces = lattice.Pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    words, weights = ["retition" * 20, "日本語の文" * 30, "a\U0001f600" * 50, "ab" * 31, "ab" * 32, "the"], lattice.np.arange(1.0, 7.0)
+    got = lattice.expected_counts(pieces, pieces.initial(), words, weights)
+    monkeypatch.setattr(lattice, "LONG", 10**9)
+    want = lattice.expected_counts(pieces, pieces.initial(), words, weights)
+    assert abs(got - want).max() < 1e-9 and got[pieces.ids["日"]] > 1
+
+
+def test_lm_learns_from_unspaced_texts(spark):
+    pieces = lattice.Pieces(lm_scoring.VOCABULARY)
+    train = spark.createDataFrame([("日本語の文" * 30,)], "text string")
+    logp = lm_scoring.piece_model(lm_scoring.word_counts(train), 1)
+    want = lattice.reestimated(lattice.np.append(lattice.np.round(lattice.expected_counts(pieces, pieces.initial(), ["日本語の文" * 30], lattice.np.ones(1)), 6), 1))
+    assert abs(logp - want).max() < 1e-9
+    assert logp[pieces.ids["日"]] > logp[pieces.ids["the"]] + 2
+
+
 def test_lm_scores_against_brute_force(spark, tmp_path, odd):
     import collections
     import math
