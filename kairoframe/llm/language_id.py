@@ -5,7 +5,7 @@ language is the product over its words of the sum over all segmentations of the
 language of the highest probability is predicted.
 
 Fitting uses a bounded sample: about `PER_LANG` documents of each language, chosen by a hash of the id
-(the one bound in this module). Their words are counted on the executors and each language's distribution
+(the one bound on what is learned). Their words, of any length, are counted on the executors and each language's distribution
 is re-estimated from the expected uses of each piece, starting from the vocabulary's own order. The model
 is (pieces x languages) numbers, so its size depends on neither the corpus nor the sample.
 

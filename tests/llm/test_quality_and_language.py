@@ -53,6 +53,24 @@ def test_language_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and not {1, 2, 3, 8} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_languages_without_spaces(spark):
+    """Each text is one long word; the even ids are learned from, the odd ones are held out."""
+    import random
+
+    rng = random.Random(5)
+    letters = {"ja": "のはをにがたでとしてれいなるこ日本人", "th": "กขคงจชดตถนบปมยรลวส", "zh": "的一是不了人我在有他这中大来上国", "zz": "あかきくけさすせそちつぬねひふ東京"}
+    rows = [(i, "".join(rng.choice(letters[k]) for _ in range(90)), k) for i, k in enumerate(list(letters) * 40)]
+    learn = lambda i: i // 4 % 2 == 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for some in (["ja", "zh"], list(letters)):
+        own = docs.filter(docs.lang.isin(some))
+        langs, logp = language_id.fit(own.filter("doc_id div 4 % 2 = 0"))
+        got = {r["doc_id"]: r for r in language_id.predict(own.filter("doc_id div 4 % 2 = 1"), langs, logp).collect()}
+        assert len(got) == 20 * len(some)
+        assert all(got[i]["lang_pred"] == k and got[i]["score"] > 0.9 for i, _, k in rows if k in some and not learn(i))
+    assert language_id.recognised(docs).count() == len(rows)
+
+
 def test_lattice_against_all_segmentations():
     pieces = lattice.Pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
     logp = pieces.initial()
