@@ -9,9 +9,9 @@ and the k-th sample is the term with the least ln a. Two documents choose the sa
 probability sum(min weights) / sum(max weights), the generalised Jaccard similarity. ln a identifies
 (term, t), so its hash is what the signature keeps: K hashes of 16 bits, as hexadecimal text.
 
-c = -ln(u v) for uniform u and v is computed; r comes from a table of quantiles, indexed by bits of the
-64-bit hash of (term, k) that also gives u, v and b. It all stays in generated code. Since only the order
-of the ln a counts, a = c exp(-r (t - b + 1)) is compared instead: one logarithm and one exponential.
+r and c are -ln(u v) for uniform u and v; two 64-bit hashes of (term, k) give the uniforms' bits. It all
+stays in generated code. Since only the order of the ln a counts, a = c exp(-r (t - b + 1)) is compared
+instead: two logarithms and one exponential.
 
 Data flow: the text is shuffled once, by ranges of doc_id. The order (descending doc_id), the term counts
 and the K minima are all computed inside those ranges, without another exchange. Range bounds are at most
@@ -31,43 +31,28 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, WORD, partitions, table, whole
 
-K = 48
-#: Entries of the table of quantiles of r (a power of two; each use of it is a literal in the plan).
-QUANTILES = 128
+K = 64
 MAX_RANGES = 1024
 #: Characters of text to a partition, and ranges to a partition, so that partitions come out even.
 CHARS, RANGES = 3_000_000, 3
 
 
-def gamma_quantiles(n: int) -> list[float]:
-    """Quantiles (i + 1/2) / n of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x)."""
-    out, low = [], 0.0
-    for i in range(n):
-        p, lo, hi = (i + 0.5) / n, low, 60.0
-        for _ in range(70):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if 1 - (1 + mid) * math.exp(-mid) < p else (lo, mid)
-        out.append(low := (lo + hi) / 2)
-    return out
-
-
-def sample(term: Column, log_weight: Column, k: int, r_table: Column) -> Column:
-    """a of one sample; term is a 64-bit hash, whose 64 bits with k give r (7), b (13), u and v (22 each)."""
-    h = F.xxhash64(term, F.lit(k))
-    bits = lambda at, n: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
-    uniform = lambda at, n: (bits(at, n).cast("double") + F.lit(0.5)) * F.lit(2.0**-n)
-    r = F.get(r_table, bits(0, 7).cast("int"))
-    b = uniform(7, 13)
-    c = -F.log(uniform(20, 22) * uniform(42, 22))
+def sample(term: Column, log_weight: Column, k: int) -> Column:
+    """a of one sample; term is a 64-bit hash. Hash 2k of it gives r (21 bits for each uniform) and b (22), hash 2k + 1 gives c (32 each)."""
+    one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    bits = lambda h, at, n: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    uniform = lambda h, at, n: (bits(h, at, n).cast("double") + F.lit(0.5)) * F.lit(2.0**-n)
+    r = -F.log(uniform(one, 0, 21) * uniform(one, 21, 21))
+    b = uniform(one, 42, 22)
+    c = -F.log(uniform(two, 0, 32) * uniform(two, 32, 32))
     return c * F.exp(r * (b - F.lit(1.0) - F.floor(log_weight / r + b).cast("double")))
 
 
 def signatures(terms: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """terms: keys, term (64-bit hash), weight > 0 -> keys, fingerprint. One group by over the keys."""
-    r_table = F.array(*[F.lit(v) for v in gamma_quantiles(QUANTILES)])
     log_weight = F.log(F.col("weight").cast("double"))
     samples = terms.select(*keys, F.col("term"), log_weight.alias("lw"))
-    least = samples.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("lw"), i, r_table)).alias(f"a{i}") for i in range(k)])
+    least = samples.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("lw"), i)).alias(f"a{i}") for i in range(k)])
     return least.select(*keys, signature_text([F.col(f"a{i}") for i in range(k)]).alias("fingerprint"))
 
 

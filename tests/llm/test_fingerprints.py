@@ -23,6 +23,27 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert abs(sum(found) / 60 - sum(want) / 60) < 4 * (0.25 / (60 * fp.K)) ** 0.5
 
 
+def test_samples_are_64_and_exact(spark):
+    """a of a term of weight 1 is c exp(-r (1 - b)) with r and c from Gamma(2, 1): its mean over terms, and as many values as terms."""
+    import random
+
+    rng = random.Random(3)
+    want = sum((rng.gammavariate(2, 1) * 2.718281828459045 ** (-rng.gammavariate(2, 1) * (1 - rng.random())) for _ in range(200_000))) / 200_000
+    terms = spark.range(20_000).select(F.xxhash64("id").alias("term"))
+    for k in (0, 63):
+        r = terms.select(fp.sample(F.col("term"), F.lit(0.0), k).alias("a")).agg(F.avg("a").alias("mean"), F.countDistinct("a").alias("n")).first()
+        assert abs(r["mean"] - want) < 0.05 and r["n"] == 20_000
+    got = fp.fingerprints(spark.createDataFrame([(1, "some words")], "id long, text string"), "id", "text").first()["fingerprint"]
+    assert fp.K == 64 and len(got) == 4 * 64
+
+
+def test_shift_is_not_stepped(spark):
+    """The ratio of a at two weights is exp(-r (t' - t)): over many terms it takes many values, not those of a table of r."""
+    terms = spark.range(5_000).select(F.xxhash64("id").alias("term"))
+    ratio = F.round(F.log(fp.sample(F.col("term"), F.lit(0.0), 1) / fp.sample(F.col("term"), F.log(F.lit(50.0)), 1)), 6)
+    assert terms.select(ratio.alias("x")).distinct().count() > 3_000
+
+
 def test_query_matches_brute_force(spark, tmp_path, odd):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     got = fp.op2(spark, str(tmp_path)).collect()
