@@ -24,7 +24,7 @@ size. The order of comparisons is linear in the size of a group of near copies,
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; fewer
 words than n are one n-gram; repeated rows and ids each get their row; a null doc_id is a row with a null
-component unless its set occurs elsewhere; an empty table gives an empty result; other columns are ignored.
+component unless its set or a joined one occurs with an id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -213,21 +213,27 @@ def _exact(rule: Rule, sets: list[np.ndarray]):
     return check
 
 
+def set_key(elems: bytes) -> tuple[int, int]:
+    """hi and lo, the 128 bits that identify a set."""
+    import xxhash
+
+    key = xxhash.xxh3_128_digest(elems)
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+
+
 def set_table(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n, hi, lo (128 bits that identify the set), bits for every document, in one pass over the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hashes = Hashes()
         for batch in batches:
             n, hi, lo, bits = [], [], [], []
             for text in batch.column(1):
                 e = ngram_set(text.as_py(), rule.n, hashes)
-                key = xxhash.xxh3_128_digest(e.tobytes())
+                key = set_key(e.tobytes())
                 n.append(len(e))
-                hi.append(int.from_bytes(key[:8], "little", signed=True))
-                lo.append(int.from_bytes(key[8:], "little", signed=True))
+                hi.append(key[0])
+                lo.append(key[1])
                 bits.append(bitmap(rule, e))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "hi", "lo", "bits"])
 
@@ -348,7 +354,7 @@ def _rest_of_tiles(crowded: DataFrame, labels: DataFrame, sets: DataFrame, rule:
 
 
 def _candidate_sets(docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
-    """rep, group, lo, n, bits, elems: the sets of the candidates, from the text of one document of each."""
+    """hi, lo, rep, group, n, bits, elems: the sets of the candidates, from the texts with the ids of one document of each."""
     spark = docs.sparkSession
     count = reps.count()
     bits = 1 << 15
@@ -363,18 +369,26 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     known = spark.sparkContext.broadcast(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, there = Hashes(), known.value
+        hashes, there, seen = Hashes(), known.value, set()
         for batch in batches:
             k, p = np.asarray(batch.column("bucket")), np.asarray(batch.column("place"))
             hit = (there[(k - 1) * 4096 + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1
-            some = batch.filter(pa.array(hit.astype(bool)))
-            for lo in range(0, some.num_rows, 500):
-                part = some.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([ngram_set(t.as_py(), rule.n, hashes).tobytes() for t in part.column("text")], pa.binary())], ["rep", "elems"])
-
-    placed = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null").withColumn("at", place("rep"))
-    found = placed.select("rep", "text", F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("place")).mapInArrow(run, "rep long, elems binary")
-    return found.join(reps, "rep").filter(F.octet_length("elems") == 8 * F.col("n")).dropDuplicates(["rep", "lo"])
+            some = batch.column("text").filter(pa.array(hit.astype(bool)))
+            for lo in range(0, len(some), 500):
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                rows = []
+                for t in some.slice(lo, 500):
+                    elems = ngram_set(t.as_py(), rule.n, hashes).tobytes()
+                    key = set_key(elems)
+                    if key not in seen:
+                        seen.add(key)
+                        rows.append((*key, elems))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["hi", "lo", "elems"])
+
+    placed = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("at", place("rep"))  # a null id has a place too
+    found = placed.select("text", F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("place")).mapInArrow(run, "hi long, lo long, elems binary")
+    return found.join(reps, ["hi", "lo"]).dropDuplicates(["hi", "lo"])
 
 
 def _verified(cand: DataFrame, rule: Rule) -> DataFrame:
@@ -418,7 +432,7 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     near = stored(_near_first(crowded, sets, rule), "near")
     more = stored(_rest_of_tiles(crowded, components(near), sets, rule), "near")
     groups = components(near.unionByName(more))
-    reps = stored(classes.filter("rep is not null").join(groups, F.col("lo") == F.col("node")).select("rep", "lo", "n", "bits", F.col("label").alias("group")), "candidates")
+    reps = stored(classes.join(groups, F.col("lo") == F.col("node")).select("hi", "lo", "rep", "n", "bits", F.col("label").alias("group")), "candidates")
     linked = components(_verified(_candidate_sets(docs, reps, rule), rule))
     named = classes.join(linked, F.col("lo") == F.col("node"), "left").select("hi", "lo", "rep", F.coalesce("label", "lo").alias("label"), F.col("label").isNotNull().alias("grouped"))
     # Classes that no link joins keep their own least id, so only joined ones are grouped.

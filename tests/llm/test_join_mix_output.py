@@ -81,6 +81,19 @@ def test_join_odd_rows(spark, odd, none):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, None, 5, 6, 7, 8]))
 
 
+def test_join_one_id_with_two_texts_and_no_ids(spark):
+    """Sets of equal size under one id are told apart, and chains run through rows without an id."""
+    rule, chain, rows = jaccard_join.Rule(3, 90, 100), [f"c{i}" for i in range(100)], []
+    for k in range(20):
+        one, two = [f"a{k}_{i}" for i in range(60)], [f"b{k}_{i}" for i in range(60)]
+        rows += [(10 * k, " ".join(one)), (10 * k, " ".join(two)), (10 * k + 1, " ".join([*one, "x"])), (10 * k + 2, " ".join([*two, "y"]))]
+    for k in range(7):
+        rows.append((None if k % 2 else 1000 + k, " ".join(chain)))
+        chain = chain[2:] + [f"n{k}a", f"n{k}b"]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()
+    assert collections.Counter(tuple(r) for r in got) == brute(rows, rule)
+
+
 def test_signature_bound_holds():
     """Linked sets always share a tile, and bitmaps never overstate the difference."""
     r = np.random.default_rng(1)
