@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from kairoframe.llm import chat_format, components, decontaminate, jaccard_join, mixing, token_output
+from kairoframe.llm import chat_format, components, jaccard_join, mixing, token_output
 from kairoframe.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -224,14 +224,3 @@ def test_chat_query_odd_rows(spark, tmp_path):
     assert set(got) == {0, 1, 7, None} and got[0]["prompt"].count("im_start") == 1
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/e/conversations.parquet")
     assert chat_format.op10(spark, f"{tmp_path}/e").count() == 0
-
-
-def test_decontamination_query(spark, odd, none):
-    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    items = {r["item_id"]: r["text"] for r in bench.collect()}
-    want = {(r["doc_id"], i) for r in docs.collect() for i, t in items.items() if t in r["text"]}
-    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, bench, block=300).collect()}
-    assert want <= found and len(found) <= len(want) + 3
-    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in found}
-    assert decontaminate.overlaps(none, bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
-    assert decontaminate.clean(odd, bench).columns == odd.columns
