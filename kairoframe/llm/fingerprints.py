@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, k: int = K) -> DataFrame:
 def _ranges(docs: DataFrame) -> tuple[list[int], int, int]:
     """Bounds of ranges of doc_id that hold about as many rows each, and numbers of partitions and characters."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.coalesce(F.col("n_chars"), F.lit(2000))).alias("chars"), F.percentile_approx("doc_id", [i / MAX_RANGES for i in range(1, MAX_RANGES)], 20000).alias("bounds")).first()
+    size = docs.agg(F.sum("n_chars").alias("chars"), F.percentile_approx("doc_id", [i / MAX_RANGES for i in range(1, MAX_RANGES)], 20000).alias("bounds")).first()
     n = partitions(spark, size["chars"] or 0, CHARS)
     bounds = sorted({int(x) for x in size["bounds"] or ()})
     step = max(1, len(bounds) // min(MAX_RANGES, RANGES * n))
@@ -132,7 +132,7 @@ def _range_of(doc_id: Column, bounds: list[int]) -> Column:
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     """part, rn, doc_id, text, next_text, is_last: each row with the text of the row that follows by descending doc_id."""
-    slim = docs.select("doc_id", "n_chars")
+    slim = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"))
     bounds, n, _ = _ranges(slim)
     part = _range_of(F.col("doc_id"), bounds)
     used = sorted(r["part"] for r in slim.select(part.alias("part")).distinct().collect())

@@ -2,7 +2,8 @@
 
 Two models learn from the same documents. The base model is a word unigram with additive smoothing: a token
 is a word or the end of a text, and its probability (c + 0.1) / (N + 0.1 (V + 1)). The lattice model has one
-probability for each piece of a fixed vocabulary and one for the end; a word's probability is the sum over
+probability for each piece of a fixed vocabulary and one for the end (the public vocabularies at hand carry merge
+ranks, not unigram scores, so these are learned here); a word's probability is the sum over
 all segmentations into pieces, found by a forward recursion in log space, and a text's is the product over its
 words and the end. The pieces' probabilities start from the vocabulary's own order and are re-estimated from the
 expected uses of each piece over all segmentations of all training words.
@@ -139,7 +140,8 @@ def score(docs: DataFrame, counts: DataFrame, totals: Totals, logp: np.ndarray,
     """doc_id, n_tokens, n_known, base_score, score for every row of docs (doc_id, text)."""
     n = max(1, -(-chars // BLOCK))
     slim = docs.select("doc_id", "text")
-    placed = slim.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), "doc_id", "text").repartition(partitions(docs.sparkSession, chars, BLOCK), "block")
+    # The input's partition takes part, so that equal rows don't share a block; where a text is scored changes nothing.
+    placed = slim.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).alias("block"), "doc_id", "text").repartition(partitions(docs.sparkSession, chars, BLOCK), "block")
     answers = _requests(placed).join(scored_words(counts, logp, vocabulary), "word", "left").select("block", "at", "c", "logp")
     model = docs.sparkSession.sparkContext.broadcast(logp)
     norm = math.log10(totals.tokens + SMOOTHING * (totals.distinct + 1))
@@ -171,7 +173,7 @@ def score(docs: DataFrame, counts: DataFrame, totals: Totals, logp: np.ndarray,
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 10) == 0
-    size = docs.agg(F.sum(F.coalesce("n_chars", F.lit(2000))).alias("chars"), F.count_if(~held_out).alias("texts")).first()
+    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.count_if(~held_out).alias("texts")).first()
     counts = stored(word_counts(docs.filter(~held_out)), "counts")
     sums = counts.agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("words")).first()
     texts = size["texts"] or 0

@@ -50,12 +50,12 @@ def _chat() -> str:
     return """with e as (select conv_id, max(turn) as last, arg_max(text, turn) as last_text from conversations group by conv_id),
         t as (select c.conv_id, c.turn, c.role, c.text as a, case when c.turn = e.last then coalesce(o.last_text, '') else c.text end as b from conversations c join e on e.conv_id = c.conv_id left join e o on o.conv_id = xor(c.conv_id, 1)),
         s as (select *, concat('<|im_start|>', role, chr(10), a, '<|im_end|>', chr(10)) as sa, concat('<|im_start|>', role, chr(10), b, '<|im_end|>', chr(10)) as sb, min(case when a <> b then turn end) over (partition by conv_id) as apart from t),
-        f as (select *, coalesce(turn < apart, true) as common, turn // 256 as block from s),
-        g as (select *, sum(length(sa)) over (partition by conv_id, block, common order by turn) - length(sa) as oa, sum(length(sb)) over (partition by conv_id, block, common order by turn) - length(sb) as ob from f)
-        select conv_id, block, coalesce(string_agg(sa, '' order by turn) filter (where common), '') as prompt, coalesce(string_agg(sa, '' order by turn) filter (where not common), '') as chosen, coalesce(string_agg(sb, '' order by turn) filter (where not common), '') as rejected,
+        f as (select *, coalesce(turn < apart, true) as common from s),
+        g as (select *, sum(length(sa)) over (partition by conv_id, common order by turn) - length(sa) as oa, sum(length(sb)) over (partition by conv_id, common order by turn) - length(sb) as ob from f)
+        select conv_id, coalesce(string_agg(sa, '' order by turn) filter (where common), '') as prompt, coalesce(string_agg(sa, '' order by turn) filter (where not common), '') as chosen, coalesce(string_agg(sb, '' order by turn) filter (where not common), '') as rejected,
             coalesce(string_agg(concat(oa + 22, ':', oa + length(sa) - 1), ',' order by turn) filter (where not common and role = 'assistant'), '') as chosen_mask,
             coalesce(string_agg(concat(ob + 22, ':', ob + length(sb) - 1), ',' order by turn) filter (where not common and role = 'assistant'), '') as rejected_mask, count(*) filter (where common) as prompt_turns
-        from g group by conv_id, block"""
+        from g group by conv_id"""
 
 
 ORACLES = {"op4_mixing": _mixing(), "op5_jaccard_join": _join(), "op6_secret_scan": _secrets(), "op10_chat_format": _chat()}

@@ -12,9 +12,8 @@ is the normalised difference of the compressed sizes. Text that repeats itself i
 goes with it. A logistic curve, fitted to labelled documents that the dictionaries have not seen and weighted to
 the labels' own proportions, turns both into the score.
 
-Fitting uses bounded samples (the bounds of this module): `DICT_DOCS` documents of each label for the
-dictionaries, of each at most `DICT_BLOCKS` blocks spread over the whole text, and `CAL_DOCS` documents of
-each label for the curve. Scoring is one pass without a shuffle over whole texts.
+Fitting uses bounded samples of labelled rows (the bounds of this module): `DICT_DOCS` rows of each label for the
+dictionaries, with their whole texts, and `CAL_DOCS` rows of each label for the curve. Scoring is one pass without a shuffle over whole texts.
 
 Edge cases: a null text counts as empty, has x = rate = 0 and the score that the curve gives to them; labels that are
 null are not learned from, several labels of one document count as their majority (a tie as good); without
@@ -27,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import fold, table
 
 BLOCK, LEVEL, DICT_BYTES = 512, 3, 65_536
-DICT_DOCS, DICT_BLOCKS, CAL_DOCS = 600, 12, 3000
+DICT_DOCS, CAL_DOCS = 600, 3000
 
 
 @dataclass(frozen=True)
@@ -131,21 +131,19 @@ def fit(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOCS, cal_docs
     if not all(counts.get((p, g)) for p in (0, 1) for g in (0, 1)):
         return flat
     order = [F.xxhash64("doc_id", F.lit("quality")), F.col("doc_id")]
-    chosen = {(p, g): labels.filter((F.col("part") == p) & (F.col("good") == g)).orderBy(*order).limit(n) for p, n in ((0, dict_docs), (1, cal_docs)) for g in (0, 1)}
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [blocks(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[b[len(b) * i // DICT_BLOCKS] for i in range(DICT_BLOCKS)] if len(b) > DICT_BLOCKS else b for b in cut], pa.list_(pa.binary()))], ["doc_id", "good", "blocks"])
+    def sample(part: int, most: int) -> DataFrame:
+        """good, text: at most `most` rows of each label. The ids, as many at most, are broadcast; an id may have any number of rows."""
+        some = [labels.filter((F.col("part") == part) & (F.col("good") == g)).orderBy(*order).limit(most) for g in (0, 1)]
+        rows = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+        return reduce(DataFrame.unionByName, [rows.filter(F.col("good") == g).orderBy(*order, F.xxhash64("text"), "text").limit(most).select("good", "text") for g in (0, 1)])
 
-    # At most 2 x dict_docs ids, so broadcast; what comes back is at most DICT_BLOCKS x BLOCK bytes a document.
-    of = lambda p: texts.join(F.broadcast(chosen[p, 0].unionByName(chosen[p, 1])), "doc_id")
-    samples = of(0).select("doc_id", "good", "text").mapInArrow(some, "doc_id long, good int, blocks array<binary>").orderBy("doc_id").collect()
-    good, bad = (trained([bytes(b) for r in samples if r["good"] == g for b in r["blocks"]]) for g in (1, 0))
+    samples = sorted((r["good"], r["text"]) for r in sample(0, dict_docs).collect())
+    good, bad = (trained([b for kind, text in samples if kind == g for b in blocks(text)]) for g in (1, 0))
     if not good or not bad:
         return flat
-    sized = sizes_of(of(1).select("doc_id", "good", "text"), good, bad, ["doc_id", "good"]).select("good", difference(F.col("n_good"), F.col("n_bad")).alias("x"), rate(F.col("n_good"), F.col("n_bytes")).alias("rate")).toPandas()
+    sized = sizes_of(sample(1, cal_docs), good, bad, ["good"]).select("good", difference(F.col("n_good"), F.col("n_bad")).alias("x"), rate(F.col("n_good"), F.col("n_bytes")).alias("rate")).toPandas()
     sized = sized.sort_values(["x", "rate", "good"])
     x, y = sized[["x", "rate"]].to_numpy(float), sized["good"].to_numpy(float)
     weight = np.where(y == 1, counts[1, 1] / max(1, (y == 1).sum()), counts[1, 0] / max(1, (y == 0).sum()))

@@ -1,4 +1,5 @@
 import collections
+import os
 import random
 
 import numpy as np
@@ -109,9 +110,7 @@ def test_signature_bound_holds():
                 assert np.bitwise_count(jaccard_join.folded(x, w) ^ jaccard_join.folded(y, w)).sum() <= len(np.setxor1d(a, b))
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_connected_components(spark, monkeypatch, few):
-    monkeypatch.setattr(components, "FEW", few)
+def test_connected_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60) if i % 13] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(5, 5)]
     got = {x["node"]: x["label"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -188,6 +187,40 @@ def test_output_round_trip_and_resume(spark, tmp_path, odd, none):
     assert token_output.shards(none).count() == 0
 
 
+def test_output_order_depends_on_documents_alone(spark, odd):
+    """Other partitions and other shuffles: the same shards, byte by byte."""
+    want = sorted((r["shard"], r["payload_sha256"]) for r in token_output.shards(odd.repartition(1), 64, 16).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        got = sorted((r["shard"], r["payload_sha256"]) for r in token_output.shards(odd.repartition(5, "n_chars"), 64, 16).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == want and len(want) > 3
+    assert want != sorted((r["shard"], r["payload_sha256"]) for r in token_output.shards(odd, 64, 16, key=7).collect())
+
+
+def test_output_of_another_corpus_into_the_same_folder(spark, tmp_path):
+    """Shards of equal size are written anew, and so is one whose description is missing or whose file was cut."""
+    folder, texts = f"{tmp_path}/out", lambda word: spark.createDataFrame([(i, f"{word} {i} " * 60) for i in range(60)], "doc_id long, text string")
+    one, two = (stored(token_output.shards(texts(w), 32, 16), "shards") for w in ("red", "blue"))
+    assert token_output.write_files(one, folder) == one.count() > 2
+    assert token_output.write_files(two, folder) == two.count()
+    want = {r["shard"]: r["payload"] for r in two.collect()}
+    for k, payload in want.items():
+        assert open(f"{folder}/shard-{k:09d}.bin", "rb").read() == payload
+    os.remove(f"{folder}/shard-{1:09d}.json")
+    with open(f"{folder}/shard-{2:09d}.bin", "ab") as f:
+        f.truncate(10)
+    with pytest.raises(ValueError):
+        list(token_output.read_slots(folder, 0, 32, 16))
+    assert token_output.write_files(two, folder) == 2 and token_output.write_files(two, folder) == 0
+    total = sum(r["n_slots"] for r in two.select("n_slots").collect())
+    token_output.write_files(one.filter("shard = 0"), folder)
+    with pytest.raises(ValueError):
+        list(token_output.read_slots(folder, 0, 32, 16))
+    assert len(list(token_output.read_slots(folder, 16, 32, 16))) == total - 16
+
+
 def test_long_texts_encode_alike():
     encode, text = token_output.encoder().encode_ordinary, ("word  two\n\n three's 12 " * 9000)
     assert [i for p in token_output.parts(text) for i in encode(p)] == encode(text)
@@ -210,17 +243,25 @@ def test_preference_pairs(spark):
     assert got[None]["rejected"].endswith("x<|im_end|>\n") and got[4]["prompt_turns"] == 1 and got[4]["chosen"].count("im_start") == 1
 
 
-def test_long_conversations_come_in_blocks(spark):
-    turns = [(1, s, k, "user", f"{k}" if k < 700 else f"{s}{k}") for s in ("chosen", "rejected") for k in range(1000)]
-    got = sorted(chat_format.preference(spark.createDataFrame(turns, "pair long, side string, turn long, role string, text string")).collect(), key=lambda r: r["block"])
-    assert len(got) == 4 and sum(r["prompt_turns"] for r in got) == 700
-    assert "".join(r["chosen"] for r in got).count("<|im_start|>") == 300
+def test_long_conversations_are_one_row(spark):
+    turns = [(1, s, k, "assistant" if k % 2 else "user", f"{k}" if k < 700 else f"{s}{k}") for s in ("chosen", "rejected") for k in range(1000)]
+    got = chat_format.preference(spark.createDataFrame(turns, "pair long, side string, turn long, role string, text string")).collect()
+    assert len(got) == 1 and got[0]["prompt_turns"] == 700 and got[0]["prompt"].count("<|im_start|>") == 700
+    for side in ("chosen", "rejected"):
+        spans = [got[0][side][int(a) : int(z)] for a, z in (m.split(":") for m in got[0][f"{side}_mask"].split(","))]
+        assert spans == [f"{side}{k}<|im_end|>" for k in range(701, 1000, 2)]
+
+
+def test_turns_without_a_number_stay_apart(spark):
+    turns = [(1, s, k, "user", t) for s in ("chosen", "rejected") for k, t in ((None, "none"), (-1, "minus"), (0, f"{s}"))]
+    got = chat_format.preference(spark.createDataFrame(turns, "pair long, side string, turn long, role string, text string")).collect()
+    assert len(got) == 1 and got[0]["prompt_turns"] == 2 and got[0]["prompt"].index("none") < got[0]["prompt"].index("minus")
 
 
 def test_chat_query_odd_rows(spark, tmp_path):
-    rows = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "z"), (7, None, "user", "q"), (7, None, "user", "q")]
+    rows = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "z"), (7, None, "user", "q"), (7, None, "user", "q"), (7, -1, "user", "r"), (7, 3, "assistant", "s")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r for r in chat_format.op10(spark, str(tmp_path)).collect()}
-    assert set(got) == {0, 1, 7, None} and got[0]["prompt"].count("im_start") == 1
+    assert set(got) == {0, 1, 7, None} and got[0]["prompt"].count("im_start") == 1 and got[7]["prompt_turns"] == 3
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/e/conversations.parquet")
     assert chat_format.op10(spark, f"{tmp_path}/e").count() == 0

@@ -71,6 +71,103 @@ def test_languages_without_spaces(spark):
     assert language_id.recognised(docs).count() == len(rows)
 
 
+def test_more_languages_than_a_block(spark, monkeypatch):
+    """Blocks of languages give the languages and scores of one block; letters are those of Unicode's category L."""
+    rows = [(i, f"{w} {w}x", lang) for i, (w, lang) in enumerate([("alpha", "a"), ("beta", "b"), ("gamma", "c"), ("delta", "d"), ("zeta", "e")] * 4)]
+    docs = spark.createDataFrame([*rows, (90, "\u00b2 \u00bd \u2167 12", None), (91, None, "a"), (None, "alpha", None)], "doc_id long, text string, lang string")
+    langs, logp = language_id.fit(docs.filter("doc_id < 50"))
+    want = sorted(map(str, language_id.predict(docs, langs, logp).collect()))
+    kept = sorted(map(str, language_id.recognised(docs).collect()))
+    assert langs == list("abcde") and "Row(doc_id=90, lang_pred='und', score=0.0)" in want
+    monkeypatch.setattr(language_id, "LANGS", 2)
+    got = {r["doc_id"]: r for r in language_id.predict(docs, langs, logp).collect()}
+    for line in language_id.predict(docs, langs, logp).collect():
+        assert got[line["doc_id"]]["lang_pred"] == line["lang_pred"]
+    monkeypatch.setattr(language_id, "LANGS", 64)
+    one = {r["doc_id"]: r for r in language_id.predict(docs, langs, logp).collect()}
+    assert all(one[d]["lang_pred"] == got[d]["lang_pred"] and abs(one[d]["score"] - got[d]["score"]) < 1e-12 for d in one)
+    monkeypatch.setattr(language_id, "LANGS", 2)
+    assert sorted(map(str, language_id.recognised(docs).collect())) == kept
+
+
+def _naive(pieces, logp, word):
+    """Log probability of a word and the expected uses of each piece, character by character, in plain floats."""
+    import math
+    from collections import Counter
+
+    text = lattice.MARK + word
+    edges = [(i, j, [pieces.ids[text[i:j]]]) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in pieces.ids]
+    edges += [(i, i + 1, pieces.spelt(text[i])) for i in range(len(text)) if text[i] not in pieces.ids]
+    a, b = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0]
+    for i, j, ids in sorted(edges):
+        a[j] += a[i] * math.exp(sum(logp[p] for p in ids))
+    for i, j, ids in sorted(edges, reverse=True):
+        b[i] += b[j] * math.exp(sum(logp[p] for p in ids))
+    uses = Counter()
+    for i, j, ids in edges:
+        for p in ids:
+            uses[p] += a[i] * math.exp(sum(logp[q] for q in ids)) * b[j] / a[-1]
+    return math.log(a[-1]), uses
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    """Predictions and scores of the query, from a model learned and summed by hand."""
+    import math
+    import random
+
+    rng, words = random.Random(2), {"x": ["lorem", "ipsum", "dolor"], "y": ["gratia", "plena", "dominus"], "z": ["日本語", "東京", "大阪"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randrange(1, 25))), k) for i, k in enumerate(list(words) * 14)]
+    rows += [(900, "lorem dominus", None), (901, "123 ²", "x"), (902, "", "y"), (None, "plena", "y")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in language_id.op9(spark, str(tmp_path)).collect()}
+    pieces = lattice.Pieces(language_id.VOCABULARY)
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 4 == 2
+    model = {}
+    for k in words:
+        counts, logp = {}, pieces.initial()
+        for d, t, lang in rows:
+            if lang == k and not held(d):
+                for w in t.split():
+                    counts[w] = counts.get(w, 0) + 1
+        for _ in range(language_id.ROUNDS):
+            total = lattice.np.zeros(pieces.size)
+            for w, c in counts.items():
+                for p, n in _naive(pieces, logp, w)[1].items():
+                    total[p] += c * n
+            logp = lattice.reestimated(total)
+        model[k] = logp
+    for d, t, _ in rows:
+        n = len(t.split())
+        if d in (901, 902):
+            assert got[d]["lang_pred"] == "und" and got[d]["score"] == 0
+            continue
+        x = {k: sum(_naive(pieces, logp, w)[0] for w in t.split()) * min(n, 12) / n for k, logp in model.items()}
+        best = max(x, key=x.get)
+        assert got[d]["lang_pred"] == best and got[d]["held_out"] == held(d)
+        assert abs(got[d]["score"] - 1 / sum(math.exp(v - x[best]) for v in x.values())) < 1e-6
+
+
+def test_lm_score_against_brute_force(spark, tmp_path):
+    """The lattice's score of the query, from a model learned and summed by hand."""
+    import collections
+    import math
+
+    rows = [(i, t) for i, t in enumerate(["the cat sat", "The CAT", "on the mat 日本", None, "", "x" * 70, "unseen words here", "cat mat"] * 4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.op7(spark, str(tmp_path)).collect()}
+    pieces = lattice.Pieces(lm_scoring.VOCABULARY)
+    train = [(t or "").lower().split() for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    total, start = lattice.np.zeros(pieces.size + 1), pieces.initial()
+    for w, c in collections.Counter(w for ws in train for w in ws).items():
+        for p, n in _naive(pieces, start, w)[1].items():
+            total[p] += c * n
+    total[-1] = len(train)
+    logp = lattice.reestimated(lattice.np.round(total, 6))
+    for i, t in rows:
+        want = (sum(_naive(pieces, logp, w)[0] for w in (t or "").lower().split()) + logp[-1]) / math.log(10)
+        assert abs(got[i] - want) < 1e-5
+
+
 def test_lattice_against_all_segmentations():
     pieces = lattice.Pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
     logp = pieces.initial()
@@ -133,4 +230,4 @@ def test_decontamination_tolerates_any_one_word():
         assert (list(found) == [0]) == inner
     assert index.overlaps(word_hashes(" ".join(clean + item[:8] + clean), h)) == {}
     assert list(index.overlaps(word_hashes("say Five words make ONE window now", h))) == [3]
-    assert index.overlaps(word_hashes("too short", h)) == {}
+    assert list(index.overlaps(word_hashes("too short", h))) == [1] and index.overlaps(word_hashes("now too short", h)) == {}
