@@ -212,9 +212,10 @@ def _conflicts(s: Store, waiting: bool) -> DataFrame:
     rows = s.conflicts.withColumn("resolution", resolution).filter(resolution.isin("unresolved", "relabelled") == F.lit(waiting))
     dates = F.array_join(F.transform("dates", lambda x: x.cast("string")), ",")
     rows = rows.withColumn("key", F.concat_ws(":", F.array_join("symbols", "/"), "kind", dates))
-    marks = s.liquid_symbols.agg(F.collect_set("symbol").alias("_all"))  # one row; as many names as there are liquid securities
-    made = rows.crossJoin(F.broadcast(marks)).withColumn("in_liquid", F.arrays_overlap("symbols", "_all"))
-    return made.select("key", "kind", F.array_join("symbols", "/").alias("symbols"), "detail", "resolution", "in_liquid")
+    rows = rows.select("key", "kind", "symbols", "detail", "resolution")
+    named = rows.select("key", F.explode("symbols").alias("symbol")).join(s.liquid_symbols.select("symbol"), "symbol", "left_semi")
+    made = rows.join(named.select("key").distinct().withColumn("_liquid", F.lit(True)), "key", "left")
+    return made.select("key", "kind", F.array_join("symbols", "/").alias("symbols"), "detail", "resolution", F.coalesce("_liquid", F.lit(False)).alias("in_liquid"))
 
 
 def m6(s: Store) -> DataFrame:

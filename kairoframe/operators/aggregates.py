@@ -79,8 +79,13 @@ def split_divisors(bars: DataFrame, splits: DataFrame, stale_days: int = 7) -> D
     )
     alive = F.col("_after").isNotNull() | (F.datediff("_ex", "_last") <= stale_days)
     true = around.filter((alive & (F.col("_before") == F.col("_symbol"))) | (F.col("_after") == F.col("_symbol"))).select(F.col("security_id").alias("_sid"), "_ex", "factor")
-    later = bars.join(true, (bars["security_id"] == F.col("_sid")) & (bars["session_date"] < F.col("_ex")), "left")
-    return later.groupBy(*bars.columns).agg(F.coalesce(F.product("factor"), F.lit(1.0)).alias("divisor"))
+    # From the few splits: one interval for each, from the split before it to its own day, with the product from it on.
+    days = true.groupBy("_sid", "_ex").agg(F.product("factor").alias("_f"))
+    last = Window.partitionBy("_sid").orderBy(F.desc("_ex")).rowsBetween(Window.unboundedPreceding, 0)
+    spans = days.select("_sid", "_ex", F.product("_f").over(last).alias("_product"), F.lag("_ex").over(Window.partitionBy("_sid").orderBy("_ex")).alias("_from"))
+    inside = (F.col("session_date") < F.col("_ex")) & (F.col("_from").isNull() | (F.col("session_date") >= F.col("_from")))
+    joined = bars.join(spans, (bars["security_id"] == F.col("_sid")) & inside, "left")
+    return joined.select(*bars.columns, F.coalesce("_product", F.lit(1.0)).alias("divisor"))
 
 
 def chosen_fact(facts: DataFrame, night: Column, as_of: Column, max_age_days: int, priority: Sequence[str]) -> DataFrame:

@@ -40,6 +40,26 @@ def as_of_forward(left: DataFrame, right: DataFrame, key: str, left_on: str, rig
     return both.select("_row.*", *[F.col(f"_match._r_{c}").alias(c) for c in columns])
 
 
+def first_after(left: DataFrame, moment: str, calendar: DataFrame, opens: str, column: str) -> DataFrame:
+    """left with the column of the first calendar row that opens after a moment (null: none).
+
+    The calendar (a row a session) is laid out by day: each day has the first opening on that day or later and the
+    one after it, so the join is an equal join on the day, whatever the number of left rows.
+    """
+    rows = calendar.select(F.col(opens).alias("_o"), F.col(column).alias("_c")).distinct().withColumn("_d", F.to_date("_o"))
+    first = rows.groupBy("_d").agg(F.min(F.struct("_o", "_c")).alias("_one"), F.max(F.struct("_o", "_c")).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    if first.filter("_n > 1").take(1):
+        raise ValueError("two sessions open on one day")
+    ordered = Window.orderBy("_d")  # a calendar: as many rows as sessions
+    first = first.select("_d", "_one", F.lead("_one").over(ordered).alias("_two"), F.lag("_d").over(ordered).alias("_before"))
+    by_day = first.select(F.explode(F.when(F.col("_before").isNull(), F.array("_d")).otherwise(F.sequence(F.date_add("_before", 1), F.col("_d")))).alias("_day"), "_one", "_two")
+    least = rows.agg(F.min("_d").alias("_least"))
+    dated = left.crossJoin(F.broadcast(least)).withColumn("_day", F.greatest(F.to_date(moment), F.col("_least"))).drop("_least")
+    joined = dated.join(by_day, "_day", "left")
+    found = F.when(F.col("_one._o") > F.col(moment), F.col("_one._c")).otherwise(F.col("_two._c"))
+    return joined.select(*left.columns, F.when(F.col(moment).isNotNull(), found).alias(column))
+
+
 def identical_pairs(rows: DataFrame, entity: str, same: Sequence[str]) -> DataFrame:
     """Pairs of different entities (first < second) with equal values on one row each.
 

@@ -1,80 +1,86 @@
 """Recurrences along one entity's ordered values.
 
-An entity's values are gathered in order and folded by `aggregate`, which stays on the JVM. The fold writes the
-recurrence as e * (1 - a) + x * a, the form that other engines reproduce bit by bit.
+Each is a step function with a few numbers of state: rows are dealt by entity, sorted, and stepped through in one pass
+over Arrow batches (`grouped.scanned`), so the work is linear and no entity's series is held. The recurrence is written
+as e * (1 - a) + x * a, the form that other engines reproduce bit by bit. A missing value makes all that follow missing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import math
+from collections.abc import Callable
 
-DOUBLES = "array<double>"
+from pyspark.sql import DataFrame
 
+from .grouped import scanned
 
-def series(bars: DataFrame, key: str, day: str, value: str) -> DataFrame:
-    """key, days, xs: an entity's values in order of the day."""
-    rows = bars.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).alias("v")))).alias("_s"))
-    return rows.select(key, F.transform("_s", lambda x: x["d"]).alias("days"), F.transform("_s", lambda x: x["v"]).alias("xs"))
+Step = Callable[[float], float | None]
 
 
-def unfolded(rows: DataFrame, key: str, day: str, names: list[str]) -> DataFrame:
-    """One row for each day, with the values of the arrays."""
-    zipped = F.arrays_zip(F.col("days").alias(day), *[F.col(n) for n in names])
-    return rows.select(key, F.inline(zipped))
-
-
-def _none() -> Column:
-    return F.array().cast(DOUBLES)
-
-
-def ema(xs: Column, length: int) -> Column:
+def ema(length: int) -> Step:
     """Exponential mean, seeded with the first value; a = 2 / (length + 1)."""
-    a = 2.0 / (length + 1)
+    a, last = 2.0 / (length + 1), None
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.concat(acc, F.array(last * F.lit(1 - a) + x * F.lit(a)))
+    def step(x: float) -> float:
+        nonlocal last
+        last = x if last is None else last * (1 - a) + x * a
+        return last
 
-    return F.when(F.size(xs) > 0, F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.slice(xs, 1, 1), step))
+    return step
 
 
-def rma(xs: Column, length: int) -> Column:
+def rma(length: int) -> Step:
     """Wilder's mean: null before the seed, the plain mean of the first `length` values; then a = 1 / length."""
-    a = 1.0 / length
-    seed = F.aggregate(F.slice(xs, 1, length), F.lit(0.0), lambda s, x: s + x) / F.lit(float(length))
-    lead = F.concat(F.array_repeat(F.lit(None).cast("double"), length - 1), F.array(seed))
+    a, total, seen, last = 1.0 / length, 0.0, 0, None
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(F.element_at(acc, -1) * F.lit(1 - a) + x * F.lit(a)))
+    def step(x: float) -> float | None:
+        nonlocal total, seen, last
+        if last is not None:
+            last = last * (1 - a) + x * a
+        else:
+            total, seen = total + x, seen + 1
+            last = total / float(length) if seen == length else None
+        return last
 
-    tail = F.slice(xs, length + 1, F.greatest(F.size(xs) - length, F.lit(0)))
-    return F.when(F.size(xs) >= length, F.aggregate(tail, lead, step)).otherwise(F.transform(xs, lambda _: F.lit(None).cast("double")))
+    return step
 
 
-def changes(xs: Column) -> Column:
-    """Differences to the value before, from the second value on."""
-    return F.transform(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), lambda x, i: x - F.get(xs, i))
+def rsi(length: int) -> Step:
+    """100 where the mean loss is 0 (a flat series too), 0 where the mean gain is 0; null until both are defined."""
+    up, down, before = rma(length), rma(length), None
 
+    def step(x: float) -> float | None:
+        nonlocal before
+        change, before = (None if before is None else x - before), x
+        if change is None:
+            return None
+        if math.isnan(change):
+            up(change), down(change)
+            return change
+        gain, loss = up(max(change, 0.0)), down(max(-change, 0.0))
+        if gain is None or loss is None:
+            return None
+        return 100.0 if loss == 0 else 0.0 if gain == 0 else 100 - 100 / (1 + gain / loss)
 
-def rsi(xs: Column, length: int) -> Column:
-    """100 where the mean loss is 0 (a flat series too), 0 where the mean gain is 0; null until both are defined."""
-    up = rma(F.transform(changes(xs), lambda d: F.greatest(d, F.lit(0.0))), length)
-    down = rma(F.transform(changes(xs), lambda d: F.greatest(-d, F.lit(0.0))), length)
+    return step
+
+
+def histogram(l1: int = 5, l2: int = 20, l3: int = 5) -> Step:
+    """rsi(ema(l1) - ema(l2), l3) - 50."""
+    fast, slow, strength = ema(l1), ema(l2), rsi(l3)
 
-    def value(u: Column, d: Column) -> Column:
-        return F.when(u.isNull() | d.isNull(), None).when(d == 0, 100.0).when(u == 0, 0.0).otherwise(100 - 100 / (1 + F.try_divide(u, d)))
+    def step(x: float) -> float | None:
+        value = strength(fast(x) - slow(x))
+        return None if value is None else value - 50
 
-    return F.when(F.size(xs) > 0, F.concat(F.array(F.lit(None).cast("double")), F.zip_with(up, down, value)))
+    return step
 
 
-def with_series(rows: DataFrame, column: str, made: Column) -> DataFrame:
-    return rows.withColumn(column, made)
+def along(rows: DataFrame, key: str, day: str, value: str, **made: Callable[[], Step]) -> DataFrame:
+    """rows with a column of doubles for each recurrence over `value`, along each key in order of the day."""
 
+    def start() -> Callable[[float], tuple]:
+        steps = [f() for f in made.values()]
+        return lambda x: tuple(s(x) for s in steps)
 
-def histogram(rows: DataFrame, l1: int = 5, l2: int = 20, l3: int = 5) -> DataFrame:
-    """rows of `series` with the array `bx`: rsi(ema(l1) - ema(l2), l3) - 50. Each step is a column of its own, so that
-    none is folded twice."""
-    rows = rows.withColumn("_fast", ema(F.col("xs"), l1)).withColumn("_slow", ema(F.col("xs"), l2))
-    rows = rows.withColumn("_diff", F.zip_with("_fast", "_slow", lambda a, b: a - b))
-    return rows.withColumn("bx", F.transform(rsi(F.col("_diff"), l3), lambda x: x - 50)).drop("_fast", "_slow", "_diff")
+    return scanned(rows, key, day, [value], start, {name: "double" for name in made})

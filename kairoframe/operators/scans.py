@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import aggregates, joins, recurrences, windows
+from .grouped import scanned
 from ..plans.pit import first_of, instant, visible
 
 WARM = {"daily": 40, "weekly": 44, "monthly": 36}
@@ -18,10 +19,19 @@ WARM = {"daily": 40, "weekly": 44, "monthly": 36}
 
 def _histogram(rows: DataFrame, day: str, name: str) -> DataFrame:
     """security_id, day, name, name_prev, name_bars."""
-    s = recurrences.histogram(recurrences.series(rows, "security_id", day, "close"))
-    s = s.withColumn("_n", F.transform("days", lambda _, i: (i + 1).cast("long"))).withColumn("_p", F.transform("bx", lambda _, i: F.when(i > 0, F.get(F.col("bx"), i - 1))))
-    made = recurrences.unfolded(s, "security_id", day, ["bx", "_p", "_n"])
-    return made.select("security_id", day, F.col("bx").alias(name), F.col("_p").alias(f"{name}_prev"), F.col("_n").alias(f"{name}_bars"))
+    def start():
+        step, before, n = recurrences.histogram(), None, 0
+
+        def run(x: float) -> tuple:
+            nonlocal before, n
+            n += 1
+            value = step(x)
+            out, before = (value, before, n), value
+            return out
+
+        return run
+
+    return scanned(rows.select("security_id", day, "close"), "security_id", day, ["close"], start, {name: "double", f"{name}_prev": "double", f"{name}_bars": "long"}).drop("close")
 
 
 def adjusted(bars: DataFrame, splits: DataFrame) -> DataFrame:
@@ -92,8 +102,7 @@ def gap_scan(bars: DataFrame, events: DataFrame, splits: DataFrame, gap: float,
 
 def reaction_sessions(filings: DataFrame, sessions: DataFrame, opens: Column) -> DataFrame:
     """filings with the first session that opens after they became known."""
-    days = sessions.select("session_date").withColumn("_opens", opens).withColumn("_all", F.lit(1))
-    return joins.as_of_forward(filings.withColumn("_all", F.lit(1)), days, "_all", "available_at", "_opens", ["session_date"], strict=True).drop("_all")
+    return joins.first_after(filings, "available_at", sessions.select("session_date").withColumn("_opens", opens), "_opens", "session_date")
 
 
 def latest_filers(filings: DataFrame, segments: DataFrame, as_of: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import scanned
+
 ENTITY, DAY = "security_id", "session_date"
 
 
@@ -86,23 +91,41 @@ def fair_value(bars: DataFrame, length: int = 33, key: str = ENTITY) -> DataFram
     return rows.withColumn("crossings", F.sum(F.col("crossing").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def middle(values: Column) -> Column:
-    """Median of an array (null if empty)."""
-    s, n = F.array_sort(values), F.size(values)
-    at = lambda i: F.get(s, i.cast("int"))
-    return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+class RunningMedian:
+    """Median of all values so far, or of the last few: a sorted list, kept by bisection."""
+
+    def __init__(self, last: int | None) -> None:
+        self.sorted: list[float] = []
+        self.recent: deque[float] | None = deque() if last else None
+        self.last = last
+
+    def add(self, x: float) -> None:
+        insort(self.sorted, x)
+        if self.recent is not None:
+            self.recent.append(x)
+            if len(self.recent) > self.last:
+                del self.sorted[bisect_left(self.sorted, self.recent.popleft())]
+
+    def value(self) -> float | None:
+        n = len(self.sorted)
+        return (self.sorted[(n - 1) // 2] + self.sorted[n // 2]) / 2 if n else None
 
 
 def crossing_medians(rows: DataFrame, last: int | None, key: str = ENTITY) -> DataFrame:
-    """Medians of high / fv and low / fv over the crossings so far, or the last of them. Spark has no median over a
-    frame: the frame's values are gathered and sorted; an entity's rows bound the frame."""
-    w = _order(key).rowsBetween(Window.unboundedPreceding, 0)
-    for name, price in (("hu", "high"), ("ld", "low")):
-        seen = F.collect_list(F.when(F.col("crossing"), F.col(price) / F.col("fv"))).over(w)
-        rows = rows.withColumn("_seen", seen)
-        kept = F.when(F.size("_seen") > last, F.slice("_seen", -last, last)).otherwise(F.col("_seen")) if last else F.col("_seen")
-        rows = rows.withColumn(name, middle(kept)).drop("_seen")
-    return rows
+    """Medians of high / fv and low / fv over the crossings so far, or the last of them: one pass along each entity."""
+
+    def start():
+        high, low = RunningMedian(last), RunningMedian(last)
+
+        def step(crossing: bool, h: float, lo: float, fv: float) -> tuple:
+            if crossing is True:
+                high.add(h / fv)
+                low.add(lo / fv)
+            return high.value(), low.value()
+
+        return step
+
+    return scanned(rows, key, DAY, ["crossing", "high", "low", "fv"], start, {"hu": "double", "ld": "double"})
 
 
 def sticky_colour(rows: DataFrame, least: int, key: str = ENTITY) -> DataFrame:

@@ -74,13 +74,12 @@ def first_match_classify(w: World):
     return identity.first_match(w.part, rules).select("p_partkey", "class", "rule")
 
 
-CHAINED = "ch as (select concat('C', o_custkey % 60) as security_id, concat('S', o_orderkey) as symbol, cast(o_orderdate as date) as valid_from, case when o_orderkey % 3 = 0 then 'unknown' when o_custkey % 5 = 0 then 'etf' when o_orderkey % 7 = 0 then 'etf' else 'common' end as class, 'pattern' as rule from orders where o_orderkey % 20 = 3 or o_orderkey % 40 = 5)"
+CHAINED = "ch as (select concat('C', o_custkey) as security_id, concat('S', o_orderkey) as symbol, cast(o_orderdate as date) as valid_from, case when o_orderkey % 3 = 0 then 'unknown' when o_custkey % 5 = 0 then 'etf' when o_orderkey % 7 = 0 then 'etf' else 'common' end as class, 'pattern' as rule from orders)"
 
 
 def chain(w: World):
     cls = F.when(F.col("o_orderkey") % 3 == 0, "unknown").when(F.col("o_custkey") % 5 == 0, "etf").when(F.col("o_orderkey") % 7 == 0, "etf").otherwise("common")
-    rows = w.orders.filter("o_orderkey % 20 = 3 or o_orderkey % 40 = 5")
-    return rows.select(F.concat(F.lit("C"), (F.col("o_custkey") % 60).cast("string")).alias("security_id"), F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("valid_from"), cls.alias("class"), F.lit("pattern").alias("rule"))
+    return w.orders.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("security_id"), F.concat(F.lit("S"), F.col("o_orderkey").cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("valid_from"), cls.alias("class"), F.lit("pattern").alias("rule"))
 
 
 @query("inherit_later", f"with {CHAINED}, i as (select a.*, (select list(distinct b.class) from ch b where b.security_id = a.security_id and b.valid_from > a.valid_from and b.class <> 'unknown') as later from ch a) select security_id, symbol, valid_from, case when class = 'unknown' and len(later) = 1 then later[1] else class end as class, case when class = 'unknown' and len(later) = 1 then 'inherited' else rule end as rule from i")

@@ -9,15 +9,15 @@ from ..catalog import query
 from ..operators import identity_rules as rules
 
 #: Labels S1..S9 whose bars in part repeat another label's, so that copies occur.
-COPIED = """cb as (select symbol, session_date, open, high, low, close, volume from [bars] where k <= 9 and not (symbol = 'S2' and session_date >= date '1996-01-01') and not (symbol = 'S4' and session_date < date '1995-01-01')
+COPIED = """cb as (select symbol, session_date, open, high, low, close, volume from [bars] where not (symbol = 'S2' and session_date >= date '1996-01-01') and not (symbol = 'S4' and session_date < date '1995-01-01')
     union all select 'S2', session_date, open, high, low, close, volume from [bars] where symbol = 'S1' and session_date >= date '1996-01-01' union all select 'S4', session_date, open, high, low, close, volume from [bars] where symbol = 'S3' and session_date < date '1995-01-01')"""
 SAME = f"{COPIED}, same as (select a.symbol as first, b.symbol as second, a.session_date from cb a join cb b on a.session_date = b.session_date and a.open = b.open and a.high = b.high and a.low = b.low and a.close = b.close and a.symbol < b.symbol where a.volume > 0 and b.volume > 0)"
-PIECES = "pc as (select k * 10 as key, k // 2 as chain, concat('S', k) as symbol, date '1993-01-01' as valid_from, case when k % 2 = 0 then date '1997-06-01' end as valid_to from (select distinct k from [bars] where k <= 9) x union all select k * 10 + 1, k // 2 - 1, concat('S', k), date '1997-06-01', null from (select distinct k from [bars] where k <= 9 and k % 2 = 0) y)"
+PIECES = "pc as (select k * 10 as key, k // 2 as chain, concat('S', k) as symbol, date '1993-01-01' as valid_from, case when k % 2 = 0 then date '1997-06-01' end as valid_to from (select distinct k from [bars]) x union all select k * 10 + 1, k // 2 - 1, concat('S', k), date '1997-06-01', null from (select distinct k from [bars] where k % 2 = 0) y)"
 
 
 def bars(w: World):
     cols = ["symbol", "session_date", "open", "high", "low", "close", "volume"]
-    b = w.bars.filter("k <= 9").select(*cols)
+    b = w.bars.select(*cols)
     kept = b.filter("not (symbol = 'S2' and session_date >= date'1996-01-01') and not (symbol = 'S4' and session_date < date'1995-01-01')")
     two = b.filter("symbol = 'S1' and session_date >= date'1996-01-01'").withColumn("symbol", F.lit("S2"))
     four = b.filter("symbol = 'S3' and session_date < date'1995-01-01'").withColumn("symbol", F.lit("S4"))
@@ -25,7 +25,7 @@ def bars(w: World):
 
 
 def pieces(w: World):
-    k = w.bars.filter("k <= 9").select("k").distinct()
+    k = w.bars.select("k").distinct()
     first = k.select((F.col("k") * 10).alias("key"), F.floor(F.col("k") / 2).alias("chain"), F.concat(F.lit("S"), "k").alias("symbol"), F.lit("1993-01-01").cast("date").alias("valid_from"), F.when(F.col("k") % 2 == 0, F.lit("1997-06-01").cast("date")).alias("valid_to"))
     second = k.filter("k % 2 = 0").select((F.col("k") * 10 + 1).alias("key"), (F.floor(F.col("k") / 2) - 1).alias("chain"), F.concat(F.lit("S"), "k").alias("symbol"), F.lit("1997-06-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
     return first.unionByName(second)

@@ -57,7 +57,7 @@ def latest_filers(w: World):
     return scans.latest_filers(w.facts, w.segments, AS_OF).select("security_id", "accn")
 
 
-@query("pool_colours", "select b.symbol, b.session_date, (select max(ex_date) from [splits] s where s.symbol = b.symbol and s.ex_date <= b.session_date) as last_split from (select distinct symbol, session_date from [bars] where volume > 0 and k <= 20) b")
+@query("pool_colours", "select b.symbol, b.session_date, (select max(ex_date) from [splits] s where s.symbol = b.symbol and s.ex_date <= b.session_date) as last_split from (select distinct symbol, session_date from [bars] where volume > 0) b")
 def pool_colours(w: World):
-    left = w.bars.filter("volume > 0 and k <= 20").select("symbol", "session_date").distinct()
+    left = w.bars.filter("volume > 0").select("symbol", "session_date").distinct()
     return joins.as_of_backward(left, w.splits.select("symbol", F.col("ex_date").alias("last_split")).distinct(), "symbol", "session_date", "last_split", ["last_split"])

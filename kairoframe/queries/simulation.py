@@ -47,11 +47,11 @@ def exit_flags(w: World):
     return w.trades.select("id", red.alias("daily_red"), down.alias("weekly_down"))
 
 
-@query("buy_and_hold", f"""with {EVENTS}, p as (select symbol, session_date, open, close, lag(session_date) over (partition by symbol order by session_date) as prev from [bars] where k <= 12 and volume > 0), dv as (select distinct * from [dividends] where available_at <= timestamp '{AS_OF}'),
+@query("buy_and_hold", f"""with {EVENTS}, p as (select symbol, session_date, open, close, lag(session_date) over (partition by symbol order by session_date) as prev from [bars] where volume > 0), dv as (select distinct * from [dividends] where available_at <= timestamp '{AS_OF}'),
     g as (select p.*, coalesce((select product(factor) from events_known e where e.symbol = p.symbol and e.ex_date > p.prev and e.ex_date <= p.session_date), 1) as s, coalesce((select sum(rate) from dv where dv.symbol = p.symbol and dv.ex_date > p.prev and dv.ex_date <= p.session_date), 0) as r from p)
     select symbol, session_date, {T6.format("exp(sum(ln(s * (1 + r / close))) over w) * close / first_value(open) over w")} as equity from g window w as (partition by symbol order by session_date rows between unbounded preceding and current row)""")
 def buy_and_hold(w: World):
-    made = simulation.buy_and_hold(w.bars.filter("k <= 12 and volume > 0"), pit.splits_as_of(w.splits, AS_OF), pit.dividends_as_of(w.dividends, AS_OF))
+    made = simulation.buy_and_hold(w.bars.filter("volume > 0"), pit.splits_as_of(w.splits, AS_OF), pit.dividends_as_of(w.dividends, AS_OF))
     return made.withColumn("equity", tidy(F.col("equity")))
 
 

@@ -76,10 +76,10 @@ def spelling_since(w: World):
     return sup.spelling_since(raw, w.snapshots.select("cik", "ticker").distinct())
 
 
-@query("known_with", "with recursive n as (select l_orderkey as id, l_orderkey // 3 as parent from lineitem where l_orderkey > 0 and l_orderkey < 200 group by 1, 2), r as (select id, parent as up from n union select r.id, n.parent from r join n on n.id = r.up) select f.o_orderkey as id, greatest(f.o_orderdate, coalesce(max(u.o_orderdate), f.o_orderdate)) as known from orders f left join r on r.id = f.o_orderkey left join orders u on u.o_orderkey = r.up where f.o_orderkey < 200 group by f.o_orderkey, f.o_orderdate")
+@query("known_with", "with recursive n as (select l_orderkey as id, l_orderkey // 3 as parent from lineitem where l_orderkey > 0 group by 1, 2), r as (select id, parent as up from n union select r.id, n.parent from r join n on n.id = r.up) select f.o_orderkey as id, greatest(f.o_orderdate, coalesce(max(u.o_orderdate), f.o_orderdate)) as known from orders f left join r on r.id = f.o_orderkey left join orders u on u.o_orderkey = r.up group by f.o_orderkey, f.o_orderdate")
 def known_with(w: World):
-    facts = w.orders.filter("o_orderkey < 200").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("known"))
-    needs = w.lineitem.filter("l_orderkey > 0 and l_orderkey < 200").select(F.col("l_orderkey").alias("id"), F.floor(F.col("l_orderkey") / 3).alias("on")).distinct()
+    facts = w.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("known"))
+    needs = w.lineitem.filter("l_orderkey > 0").select(F.col("l_orderkey").alias("id"), F.floor(F.col("l_orderkey") / 3).alias("on")).distinct()
     return sup.known_with(facts, needs)
 
 

@@ -110,10 +110,10 @@ def missing_filings(w: World):
     return w.facts.filter("form = '10-K'").select("accn").join(saved, "accn", "left_anti")
 
 
-@query("prompt_text", f"with {CHUNKS} select entity_id, string_agg(concat('[', chunk_id, '] ', substr(line, 1, 40)), chr(10) order by chunk_id) as prompt from chunks where entity_id < 6 group by entity_id")
+@query("prompt_text", f"with {CHUNKS} select entity_id, string_agg(concat('[', chunk_id, '] ', line), chr(10) order by chunk_id) as prompt from chunks group by entity_id")
 def prompt_text(w: World):
-    piece = F.concat(F.lit("["), F.col("chunk_id").cast("string"), F.lit("] "), F.substring("text", 1, 40))
-    rows = chunks(w).filter("entity_id < 6").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", piece.alias("s")))).alias("all"))
+    piece = F.concat(F.lit("["), F.col("chunk_id").cast("string"), F.lit("] "), F.col("text"))
+    rows = chunks(w).groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", piece.alias("s")))).alias("all"))
     return rows.select("entity_id", F.array_join(F.transform("all", lambda x: x["s"]), "\n").alias("prompt"))
 
 
@@ -140,5 +140,5 @@ def folded_words(w: World):
 
 @query("citation_validate")
 def citation_validate(w: World):
-    rows = w.conversations.select("conv_id", "turn", F.col("text").alias("chunk"), F.substring("text", 1, 60).alias("claim"), F.when(F.col("turn") % 5 != 4, F.substring("text", 1, 40)).alias("quote"), (F.col("conv_id") % 7 != 0).alias("visible"), (F.col("conv_id") % 5 != 0).alias("same_entity"))
+    rows = w.conversations.select("conv_id", "turn", F.col("text").alias("chunk"), F.col("text").alias("claim"), F.when(F.col("turn") % 5 != 4, F.col("text")).alias("quote"), (F.col("conv_id") % 7 != 0).alias("visible"), (F.col("conv_id") % 5 != 0).alias("same_entity"))
     return text.checked_citations(rows).select("conv_id", "turn", "fault")

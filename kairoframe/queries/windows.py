@@ -146,17 +146,21 @@ def _rma_sql(source: str, name: str, n: int) -> str:
 
 
 def closes(w: World):
-    return recurrences.series(resolved(w), "security_id", "session_date", "close")
+    return resolved(w).select("security_id", "session_date", "close")
+
+
+def along(w: World, **made):
+    return recurrences.along(closes(w), "security_id", "session_date", "close", **made).drop("close")
 
 
 @query("ema", f"with recursive {SERIES}, {_ema_sql('x', 'f', 2 / 21)} select security_id, session_date, e as ema from f")
 def ema(w: World):
-    return recurrences.unfolded(closes(w).withColumn("ema", recurrences.ema(F.col("xs"), 20)), "security_id", "session_date", ["ema"])
+    return along(w, ema=lambda: recurrences.ema(20))
 
 
 @query("rma", f"with recursive {SERIES}, {_rma_sql('x', 'f', 5)} select x.security_id, x.session_date, f.e as rma from x left join f using (security_id, i)")
 def rma(w: World):
-    return recurrences.unfolded(closes(w).withColumn("rma", recurrences.rma(F.col("xs"), 5)), "security_id", "session_date", ["rma"])
+    return along(w, rma=lambda: recurrences.rma(5))
 
 
 def _rsi_sql(source: str, tail: str) -> str:
@@ -168,12 +172,12 @@ def _rsi_sql(source: str, tail: str) -> str:
 
 @query("rsi", f"with recursive {SERIES}, {_rsi_sql('x', ' as rsi')}")
 def rsi(w: World):
-    return recurrences.unfolded(closes(w).withColumn("rsi", recurrences.rsi(F.col("xs"), 5)), "security_id", "session_date", ["rsi"])
+    return along(w, rsi=lambda: recurrences.rsi(5))
 
 
 @query("bx_histogram", f"with recursive {SERIES}, {_ema_sql('x', 'fast', 2 / 6)}, {_ema_sql('x', 'slow', 2 / 21)}, diff as (select f.security_id, f.session_date, f.i, f.e - s.e as v from fast f join slow s using (security_id, i)), {_rsi_sql('diff', ' - 50 as bx')}")
 def bx_histogram(w: World):
-    return recurrences.unfolded(recurrences.histogram(closes(w)), "security_id", "session_date", ["bx"])
+    return along(w, bx=recurrences.histogram)
 
 
 @query("period_as_of", f"""with recursive {RESOLVED}, p as (select security_id, cast(date_trunc('month', session_date) as date) as period_start, min(session_date) as first_day, max(session_date) as period_end, arg_max(close, session_date) as close from resolved group by 1, 2),
@@ -187,8 +191,7 @@ def period_as_of(w: World):
     return joins.as_of_backward(bars.select("security_id", "session_date").distinct(), months, "security_id", "session_date", "complete_on", ["complete_on", "month_close"])
 
 
-@query("reaction_session", "select e.event_id, min(d.session_date) as session_date from (select event_id, ts from events where event_id % 50 = 0) e left join (select distinct cast(ts as date) as session_date from events) d on cast(d.session_date as timestamp) + interval 570 minute > e.ts group by e.event_id")
+@query("reaction_session", "select e.event_id, min(d.session_date) as session_date from events e left join (select distinct cast(ts as date) as session_date from events) d on cast(d.session_date as timestamp) + interval 570 minute > e.ts group by e.event_id")
 def reaction_session(w: World):
-    left = w.events.filter("event_id % 50 = 0").select("event_id", "ts", F.lit(1).alias("all"))
-    days = w.events.select(F.to_date("ts").alias("session_date")).distinct().withColumn("opens", F.col("session_date").cast("timestamp_ntz") + F.expr("interval 570 minute")).withColumn("all", F.lit(1))
-    return joins.as_of_forward(left, days, "all", "ts", "opens", ["session_date"], strict=True).select("event_id", "session_date")
+    days = w.events.select(F.to_date("ts").alias("session_date")).distinct().withColumn("opens", F.col("session_date").cast("timestamp_ntz") + F.expr("interval 570 minute"))
+    return joins.first_after(w.events.select("event_id", "ts"), "ts", days, "opens", "session_date").select("event_id", "session_date")

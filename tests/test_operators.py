@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairoframe.functions import text
-from kairoframe.operators import identity, recurrences, simulation, statistics
+from kairoframe.operators import identity, joins, recurrences, simulation, statistics, windows
 from kairoframe.sources import tables
 
 D = datetime.date
@@ -19,14 +19,40 @@ def test_recurrences_against_pandas(spark):
     r = np.random.default_rng(1)
     xs = np.round(100 + np.cumsum(r.normal(0, 1, 80)), 4).tolist()
     df = spark.createDataFrame([("a", D(2020, 1, 1) + datetime.timedelta(i), x) for i, x in enumerate(xs)], "k string, d date, x double")
-    rows = recurrences.histogram(recurrences.series(df, "k", "d", "x").withColumn("e", recurrences.ema(F.col("xs"), 20)).withColumn("w", recurrences.rma(F.col("xs"), 5)))
-    got = rows.first()
-    assert np.allclose(got["e"], pd.Series(xs).ewm(alpha=2 / 21, adjust=False).mean())
+    made = recurrences.along(df, "k", "d", "x", e=lambda: recurrences.ema(20), w=lambda: recurrences.rma(5), bx=recurrences.histogram)
+    rows = sorted(made.collect(), key=lambda r: r["d"])
+    e, w, bx = ([r[c] for r in rows] for c in ("e", "w", "bx"))
+    assert np.allclose(e, pd.Series(xs).ewm(alpha=2 / 21, adjust=False).mean())
     tail = pd.Series([np.mean(xs[:5]), *xs[5:]]).ewm(alpha=0.2, adjust=False).mean()
-    assert got["w"][:4] == [None] * 4 and np.allclose(got["w"][4:], tail)
-    assert got["bx"][:5] == [None] * 5 and all(-50 <= v <= 50 for v in got["bx"][5:])
-    flat = spark.createDataFrame([("a", [3.0] * 9)], "k string, xs array<double>").select(recurrences.rsi(F.col("xs"), 5).alias("r")).first()["r"]
-    assert flat[5:] == [100.0] * 4
+    assert w[:4] == [None] * 4 and np.allclose(w[4:], tail)
+    assert bx[:5] == [None] * 5 and all(-50 <= v <= 50 for v in bx[5:])
+    flat = recurrences.rsi(5)
+    assert [flat(3.0) for _ in range(9)][5:] == [100.0] * 4
+
+
+def test_recurrences_are_linear(spark):
+    """64,000 values of one key and of many, across batches; a missing value makes the rest missing, for its key alone."""
+    import time
+
+    df = spark.range(64_000).selectExpr("'a' as k", "id as d", "cast(id % 97 as double) as x").unionByName(spark.range(100).selectExpr("'b' as k", "id as d", "case when id <> 50 then 1.0d end as x"))
+    recurrences.along(df, "k", "d", "x", e=lambda: recurrences.ema(9)).count()
+    start = time.time()
+    got = recurrences.along(df, "k", "d", "x", e=lambda: recurrences.ema(9), bx=recurrences.histogram).selectExpr("k", "count(e) over (partition by k) as n", "d").distinct().groupBy("k").agg({"n": "max", "d": "count"}).collect()
+    assert time.time() - start < 20
+    assert {r["k"]: (r["max(n)"], r["count(d)"]) for r in got} == {"a": (64_000, 64_000), "b": (50, 100)}
+    medians = windows.crossing_medians(spark.range(20_000).selectExpr("'a' as security_id", "id as session_date", "id % 3 = 0 as crossing", "cast((id * 7919) % 1000 as double) as high", "1.0d as low", "1.0d as fv"), None)
+    last = medians.orderBy("session_date", ascending=False).first()
+    assert last["hu"] == float(np.median([(i * 7919) % 1000 for i in range(0, 20_000, 3)])) and last["ld"] == 1.0
+    some = windows.crossing_medians(spark.createDataFrame([("a", i, True, float(v), 1.0, 1.0) for i, v in enumerate([5, 1, 9, 9, 2])], "security_id string, session_date int, crossing boolean, high double, low double, fv double"), 3)
+    assert [r["hu"] for r in some.orderBy("session_date").collect()] == [5, 3, 5, 9, 9]
+
+
+def test_first_after_a_moment(spark):
+    at = lambda *x: datetime.datetime(2020, 1, *x)
+    days = spark.createDataFrame([(D(2020, 1, d), at(d, 9, 30)) for d in (2, 3, 7)], "session_date date, opens timestamp_ntz")
+    left = spark.createDataFrame([(1, at(1, 0)), (2, at(2, 9, 29)), (3, at(2, 9, 30)), (4, at(3, 12)), (5, at(7, 9, 30)), (6, None), (7, at(6, 23))], "id int, ts timestamp_ntz")
+    got = {r["id"]: r["session_date"] and r["session_date"].day for r in joins.first_after(left, "ts", days, "opens", "session_date").collect()}
+    assert got == {1: 2, 2: 2, 3: 3, 4: 7, 5: None, 6: None, 7: 7}
 
 
 def test_leg_exits():
@@ -122,6 +148,26 @@ def test_html_and_chunks():
     assert {c[1] for c in text.chunks_of(body, "8-K", 60)} == {"8-K"} and text.chunks_of(None, "8-K") == []
 
 
+def test_amounts_keep_their_currency():
+    fault = lambda claim, chunk, quote=None: text.citation_fault(claim, quote or chunk, chunk, True, True)
+    both = "Total revenue was RMB 12.3 billion (US$ 1.7 billion) in the quarter"
+    assert fault("Revenue was US$ 12.3 billion", both) == "number_not_in_quote"
+    assert fault("Revenue was RMB 12.3 billion", both) is None and fault("Revenue was US$ 1.7 billion", both) is None
+    assert fault("Revenue was 12.3 billion", both) is None
+    dollars = "The loss came to 5 billion dollars, a record for us"
+    assert fault("A loss of 5 billion dollars", dollars) is None and fault("A loss of 5 billion euros", dollars) == "number_not_in_quote"
+    assert fault("Sales of NTD 5.0 billion", "We had sales of NTD 5 billion last year") is None
+    assert fault("sales of 3 mm and mm", "we had sales of 3 mm and mm there") == "unchecked_number"
+    assert fault("fifty basis points", "it rose by fifty basis points again") == "unchecked_number"
+    assert fault("up 50 basis points", "margins were up 50 basis points again") is None
+    assert fault("down 12%", "margins were down 12 percent in the year") is None and fault("rose 5%", "the price rose 5. Percent of it") == "number_not_in_quote"
+    assert fault("a loss of (281)", "we made a loss of (281 | ) in that year") is None
+
+
+def test_blocks_that_end_paragraphs():
+    assert text.html_text("<div>a <form>b</form> c</div>") == "a b c" and text.html_text("<html>a<nav>b</nav></html>") == "ab"
+
+
 def test_citation_checks():
     chunk = "We had total revenue of $26 billion, up 5 percent, this year (281 | ) and three sites"
     quote = "total revenue of $26 billion, up 5 percent"
