@@ -54,7 +54,8 @@ def gamma_points(n: int) -> list[float]:
 
 
 def points_table() -> Column:
-    return F.expr(f"array({', '.join(f'{x!r}D' for x in gamma_points(CELLS))})")
+    """As a literal, with few digits: each use of it is in the plan's text."""
+    return F.expr(f"array({', '.join(f'{x:.4f}D' for x in gamma_points(CELLS))})")
 
 
 def sample(term: Column, log_weight: Column, k: int, points: Column | None = None) -> Column:
@@ -62,12 +63,12 @@ def sample(term: Column, log_weight: Column, k: int, points: Column | None = Non
     points = points_table() if points is None else points
     h = F.xxhash64(term, F.lit(k))
     bits = lambda at, n: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
-    uniform = lambda at, n: (bits(at, n).cast("double") + F.lit(0.5)) * F.lit(2.0**-n)
-    at = bits(0, 7).cast("int")
+    middle = lambda x: x.cast("double") + F.lit(0.5)  # noqa: E731  of the interval that the bits stand for
+    at = h.bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")
     low, high = F.get(points, at), F.get(points, at + 1)
-    r = low + uniform(7, 10) * (high - low)
-    b = uniform(17, 13)
-    c = -F.log(uniform(30, 17) * uniform(47, 17))
+    r = low + middle(bits(7, 10)) * F.lit(2.0**-10) * (high - low)
+    b = middle(bits(17, 13)) * F.lit(2.0**-13)
+    c = F.lit(34 * math.log(2)) - F.log(middle(bits(30, 17)) * middle(F.shiftrightunsigned(h, 47)))
     return c * F.exp(r * (b - F.lit(1.0) - F.floor(log_weight / r + b).cast("double")))
 
 
