@@ -6,26 +6,20 @@ is the components', whose rounds grow with the logarithm of the longest chain.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.pit import first_of, masked_segments, within
+from ..session import cut
 
 LAG_DAYS, GAP_SNAPSHOTS = 183, 2
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the cluster's shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kairoframe-"))
-    return df.checkpoint()
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component: the least node of its component, for every node of an edge.
 
     Each round takes the least label of the neighbours, then that label's own label (pointer jumping), so labels
@@ -33,17 +27,16 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component"))
-    both, labels = _cut(both), _cut(labels)
-    for _ in range(rounds):
+    both, labels = cut(both), cut(labels)
+    while True:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("m"))
         step = labels.join(near, labels["node"] == near["u"]).select("node", F.least("component", "m").alias("component"))
         up = step.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        new = _cut(step.join(up, "component").select("node", F.least("component", "higher").alias("component")))
+        new = cut(step.join(up, "component").select("node", F.least("component", "higher").alias("component")))
         changed = new.join(labels.withColumnRenamed("component", "was"), "node").filter("component <> was").limit(1).count()
         labels = new
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def normal_spelling(listings: DataFrame, stored: DataFrame) -> DataFrame:
@@ -197,3 +190,42 @@ def cell_impact(bars: DataFrame, full: DataFrame, rebuilt: DataFrame, as_of: str
 
     both = owner(a, "full_owner").join(owner(b, "rebuilt_owner"), ["symbol", "session_date"]).filter("full_owner <> rebuilt_owner")
     return both.groupBy("symbol", "full_owner", "rebuilt_owner").agg(F.min("session_date").alias("first"), F.max("session_date").alias("last"), F.count(F.lit(1)).alias("days"))
+
+
+def reachable_without(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, without, symbol: symbols that linking edges (old, new) reach from start when the node `without` is taken out.
+
+    Each question's frontier grows by one edge a round; what was reached before is not looked at again.
+    """
+    both = edges.select(F.col("old").alias("_a"), F.col("new").alias("_b")).unionByName(edges.select(F.col("new").alias("_a"), F.col("old").alias("_b"))).distinct()
+    seen = starts.select("start", "without").distinct().withColumn("symbol", F.col("start"))
+    front = seen
+    while front.take(1):
+        step = front.join(both, F.col("symbol") == F.col("_a")).select("start", "without", F.col("_b").alias("symbol")).filter("symbol <> without").distinct()
+        front = cut(step.join(seen, ["start", "without", "symbol"], "left_anti"))
+        seen = cut(seen.unionByName(front))
+    return seen
+
+
+def round_trips(edges: DataFrame) -> DataFrame:
+    """Labels taken back from where their holder had just gone: pairs of edges old -> new -> old in order of the day."""
+    a, b = edges.alias("a"), edges.alias("b")
+    same = (F.col("a.old") == F.col("b.new")) & (F.col("a.new") == F.col("b.old")) & (F.col("b.day") > F.col("a.day"))
+    return a.join(b, same).select(F.col("a.old").alias("symbol"), F.col("a.new").alias("other"), F.col("a.day").alias("left_on"), F.col("b.day").alias("back_on"))
+
+
+def presence(snapshots: DataFrame) -> DataFrame:
+    """ticker, seen: the snapshots that list it, as sorted (day, filer)."""
+    return snapshots.groupBy("ticker").agg(F.array_sort(F.collect_set(F.struct("snapshot_date", "cik"))).alias("seen"))
+
+
+def class_lookups(snapshots: DataFrame) -> DataFrame:
+    """ticker, cik, filers (of the ticker), tickers (of the filer): what the classifier looks up."""
+    pairs = snapshots.select("ticker", "cik").distinct()
+    filers, names = pairs.groupBy("ticker").agg(F.count(F.lit(1)).alias("filers")), pairs.groupBy("cik").agg(F.count(F.lit(1)).alias("tickers"))
+    return pairs.join(filers, "ticker").join(names, "cik")
+
+
+def diff_key(symbol: Column, valid_from: Column, reason: Column, names: Column) -> Column:
+    """SYMBOL:day:reason, and the fields that differ: a row that differs in one more is another one."""
+    return F.concat_ws(":", symbol, valid_from.cast("string"), reason, F.nullif(names, F.lit("")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.pit import first_of, instant, within
+from ..session import cut
 
 
 def weekday_index(bars: DataFrame) -> DataFrame:
@@ -87,13 +88,13 @@ def spelling_since(raw: DataFrame, spelled: DataFrame) -> DataFrame:
     return forms.filter("_was = ticker").groupBy("ticker", "cik").agg(F.min("snapshot_date").alias("since")).join(moved, ["ticker", "cik"])
 
 
-def known_with(facts: DataFrame, needs: DataFrame, rounds: int = 10) -> DataFrame:
-    """facts (id, known) no earlier than any fact they rest on (needs: id, on), through chains of any length up to 2 ** rounds:
-    each round joins the links with themselves, so they reach twice as far."""
+def known_with(facts: DataFrame, needs: DataFrame) -> DataFrame:
+    """facts (id, known) no earlier than any fact they rest on (needs: id, on), through chains of any length: each round
+    joins the links with themselves, so they reach twice as far."""
     far = needs.select("id", "on").distinct()
-    for _ in range(rounds):
+    while True:
         more = far.join(far.select(F.col("id").alias("on"), F.col("on").alias("_next")), "on").select("id", F.col("_next").alias("on"))
-        new = far.union(more).distinct().checkpoint() if far.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else far.union(more).distinct()
+        new = cut(far.union(more).distinct())
         grown = new.count() > far.count()
         far = new
         if not grown:

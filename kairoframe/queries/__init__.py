@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pit", "joins", "aggregates", "windows", "audit", "text", "identity", "simulation", "statistics", "sources", "scans", "identity_rules", "supporting")
+MODULES = ("pit", "joins", "aggregates", "windows", "audit", "text", "identity", "simulation", "statistics", "sources", "scans", "identity_rules", "supporting", "filings")
 
 
 def load() -> None:

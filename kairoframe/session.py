@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -20,3 +22,20 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that the cluster shares.
+
+    Where neither the context nor the session names one, a local master has a temporary folder; a cluster is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="kairoframe-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
