@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..adapters import World
 from ..catalog import query
-from ..operators import aggregates, simulation, windows
+from ..operators import aggregates, replay, simulation, spinoffs, windows
 from ..operators.aggregates import tidy
 from ..plans import pit
+from ..session import cut
 from .pit import AS_OF, EVENTS
 from .pit import panel as resolved
 
@@ -104,3 +106,21 @@ def decision_legs(w: World):
     rows = windows.inclusive_atr(resolved(w)).withColumn("pre_close", F.lag("close").over(o)).filter("signal_atr is not null and day(session_date) in (10, 20)")
     made = rows.select(F.abs(F.xxhash64("security_id", "session_date")).alias("decision_id"), "security_id", F.col("session_date").alias("day"), "pre_close", (F.col("signal_atr") / 4).alias("atr"), F.lit(50).cast("long").alias("shares"), F.lit(1e6).alias("budget"))
     return simulation.simulated_decisions(made, resolved(w), simulation.LegRules(max_sessions=20), simulation.ReentryRules())
+
+
+@query("account_replay")
+def account_replay(w: World):
+    """Two accounts over the whole history: one buys on the 15th of a month, one on the 5th; exits by the day's and the week's fall."""
+    o = Window.partitionBy("security_id").orderBy("session_date")
+    bars = cut(resolved(w).select("security_id", "symbol", "session_date", "open", "high", "low", "close", "available_at"))  # looked at six times
+    nights = replay.signal_inputs(bars, 14).filter("day(session_date) in (5, 15)")
+    rank = F.row_number().over(Window.partitionBy("session_date").orderBy("security_id"))
+    signals = nights.withColumn("rank", rank).withColumn("run_id", F.when(F.dayofmonth("session_date") == 15, 1).otherwise(2).cast("long"))
+    falls = F.array_compact(F.array(F.when(F.col("close") < F.lag("close").over(o), "daily_red"), F.when(F.col("close") < F.lag("close", 5).over(o), "weekly_down")))
+    flags = bars.select("security_id", "session_date", falls.alias("flags"))
+    records = pit.spinoffs_as_of(w.spinoffs, AS_OF)
+    events = replay.settled_events(spinoffs.events(records, bars), records)
+    runs = signals.groupBy("run_id").agg(F.min("session_date").alias("first"), F.max("session_date").alias("last"))
+    rows = replay.stream(runs, bars.select("session_date").distinct(), signals, bars, pit.splits_as_of(w.splits, AS_OF), events, flags)
+    made = replay.replayed(rows, replay.AccountRules(equity=1e6))
+    return made.select("run_id", "kind", "day", "security_id", "reason", "shares", "spinoff", *[tidy(F.col(c)).alias(c) for c in ("exit_price", "pnl", "r_multiple", "child_proceeds", "equity", "gross")])

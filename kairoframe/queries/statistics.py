@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..adapters import World
 from ..catalog import query
-from ..operators import statistics, windows
+from ..operators import evaluation, statistics, windows
 from ..operators.aggregates import tidy
-from .pit import PANEL
+from ..plans import pit
+from ..session import cut
+from .pit import AS_OF, EVENTS, PANEL
 from .pit import panel
 
 T6 = "floor(({}) * 1e6 + 0.5) / 1e6"
@@ -91,3 +94,61 @@ def null_returns(w: World):
 @query("cluster_bootstrap")
 def cluster_bootstrap(w: World):
     return statistics.bootstrap(w.trades, "exit_reason", "pnl", "session_date", 500, 11)
+
+
+def evaluated(w: World):
+    """(spans of two entry days held 5 and 10 sessions, panel of their pools, bars)."""
+    bars = cut(panel(w).select("security_id", "symbol", "session_date", "open", "close"))  # looked at six times
+    rows = entries(w).withColumn("variant", F.concat(F.lit("d"), F.dayofmonth("session_date").cast("string")))
+    spans = evaluation.entry_spans(rows, bars, bars, (5, 10), "1997-06-30", 5.0)
+    members = bars.select("session_date", F.col("security_id").alias("member"))
+    pools = evaluation.pools_for(spans, bars, members)
+    splits = pit.splits_as_of(w.splits, AS_OF).join(bars.select("security_id", "symbol").distinct(), "symbol").select("security_id", "ex_date", "factor")
+    none = splits.limit(0).select("security_id", "ex_date")
+    known = spans.join(pools.select("variant", "key").distinct(), ["variant", "key"], "left_semi")
+    return known, evaluation.priced(pools, bars, splits, none.withColumn("paid", F.lit(0.0)), none, 5.0), bars
+
+
+@query("entry_test")
+def entry_test(w: World):
+    spans, prices, bars = evaluated(w)
+    some = prices.groupBy("variant", "key").agg(F.count("ret").alias("n")).filter("n > 0").select("variant", "key")
+    keep = lambda x: x.join(some, ["variant", "key"], "left_semi")
+    made = evaluation.entry_test(keep(spans), keep(prices), bars, 100, 7, 200)
+    return made.select("variant", "trades", *[tidy(F.col(c)).alias(c) for c in ("mean", "null_mean", "p_adjusted", "excess_low", "excess_high")])
+
+
+EVAL = f"""{CAL}, h as (select unnest([5, 10]) as hold), s0 as (select e.security_id, c.idx, e.session_date as entry_session, t.session_date as exit_session, h.hold, concat('d', day(e.session_date), ':', h.hold) as variant, o.open as i, x.open as z from en e join cal c using (session_date) cross join h
+    join cal t on t.idx = c.idx + h.hold and t.session_date <= date '1997-06-30' join resolved o on o.security_id = e.security_id and o.session_date = e.session_date join resolved x on x.security_id = e.security_id and x.session_date = t.session_date),
+    sp as (select *, z * (1 - 5.0 / 1e4) / (i * (1 + 5.0 / 1e4)) - 1 as ret from s0), k as (select distinct variant, security_id, entry_session, exit_session, idx, hold from sp),
+    sx as (select distinct r.security_id, e.ex_date, e.factor from events_known e join (select distinct security_id, symbol from resolved) r using (symbol)),
+    pm as (select k.variant, k.security_id, k.entry_session, k.exit_session, m.security_id as member from k join cal b on b.idx = k.idx - 1 join (select distinct security_id, session_date from resolved) m on m.session_date = b.session_date),
+    pr as (select pm.*, (q.open * coalesce((select product(factor) from sx where sx.security_id = pm.member and sx.ex_date > pm.entry_session and sx.ex_date <= pm.exit_session), 1)) * (1 - 5.0 / 1e4) / (p.open * (1 + 5.0 / 1e4)) - 1 as r from pm left join resolved p on p.security_id = pm.member and p.session_date = pm.entry_session left join resolved q on q.security_id = pm.member and q.session_date = pm.exit_session)"""
+
+
+@query("entry_pools", f"with {EVENTS}, {EVAL} select variant, security_id, entry_session, count(*) as members, count(r) as priced, {T6.format('avg(r)')} as mean from pr group by variant, security_id, entry_session")
+def entry_pools(w: World):
+    spans, prices, _ = evaluated(w)
+    rows = prices.groupBy("variant", "key").agg(F.count(F.lit(1)).alias("members"), F.count("ret").alias("priced"), tidy(F.avg("ret")).alias("mean"))
+    return spans.join(rows, ["variant", "key"]).select("variant", "security_id", "entry_session", "members", "priced", "mean")
+
+
+@query("equity_slices", "with m as (select run_id, session_date, 1000 + sum(sum(floor(pnl))) over (partition by run_id order by session_date) as equity from [trades] group by run_id, session_date), b as (select *, lag(equity) over (partition by run_id order by session_date) as before from m) select run_id, session_date, equity, coalesce(first_value(before) over (partition by run_id order by session_date), 1000) as base from b where session_date between date '2024-01-05' and date '2024-01-20'")
+def equity_slices(w: World):
+    past = Window.partitionBy("run_id").orderBy("session_date")
+    marks = w.trades.groupBy("run_id", "session_date").agg(F.sum(F.floor("pnl").cast("double")).alias("p")).select("run_id", "session_date", (F.lit(1000.0) + F.sum("p").over(past)).alias("equity"))
+    day = lambda x: F.lit(x).cast("date")
+    return evaluation.equity_slice(marks, day("2024-01-05"), day("2024-01-20"), F.lit(1000.0))
+
+
+@query("basket_curve", f"""with {PANEL}, d as (select distinct session_date from resolved), rb as (select min(session_date) as a from d group by date_trunc('month', session_date)), f as (select a, lead(a) over (order by a) as z from rb),
+    mb as (select a, z, security_id from (select f.*, r.security_id, row_number() over (partition by a order by r.close * r.volume desc, r.security_id) as p from f join resolved r on r.session_date = f.a) x where p <= 5),
+    g0 as (select mb.a, mb.z, mb.security_id, d.session_date, (select arg_max(close, r.session_date) from resolved r where r.security_id = mb.security_id and r.session_date between mb.a and d.session_date) / (select min(close) from resolved r where r.security_id = mb.security_id and r.session_date = mb.a) as ratio from mb join d on d.session_date >= mb.a and (mb.z is null or d.session_date <= mb.z)),
+    g as (select a, z, session_date, avg(ratio) as g from g0 group by 1, 2, 3), c as (select a, coalesce(product(g) over (order by a rows between unbounded preceding and 1 preceding), 1) as start from (select rb.a, g.g from rb left join g on g.a = rb.a and g.session_date = g.z) y)
+    select g.session_date, {T6.format('c.start * g.g')} as equity from g join c using (a) where z is null or g.session_date < z""")
+def basket_curve(w: World):
+    bars = panel(w)
+    first = bars.groupBy(F.date_trunc("month", "session_date").alias("m")).agg(F.min("session_date").alias("session_date")).select("session_date")
+    place = F.row_number().over(Window.partitionBy("session_date").orderBy(F.desc(F.col("close") * F.col("volume")), "security_id"))
+    members = bars.join(first, "session_date", "left_semi").withColumn("place", place).filter("place <= 5").select("session_date", "security_id")
+    return evaluation.basket_curve(members, bars, bars).withColumn("equity", tidy(F.col("equity")))

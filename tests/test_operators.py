@@ -119,11 +119,17 @@ def test_draws_are_keyed():
 def test_bootstrap_interval_covers_the_mean():
     r = np.random.default_rng(3)
     v, c = r.normal(1, 1, 400), np.repeat(np.arange(40), 10)
-    low, high = statistics.cluster_interval(v, c, 500, 1)
-    assert low < v.mean() < high
-    assert statistics.cluster_interval(v[:5], [1] * 5, 10, 1) == (v[:5].mean(),) * 2
-    diff, lo, hi = statistics.group_difference(v + (c % 2), (c % 2 == 1), c, 500, 1)
+    sums = lambda x, f=None: np.column_stack([np.bincount(c, w * g) for g in ([np.ones(400)] if f is None else [f, 1 - f]) for w in (x, np.ones(400))])
+    mean, low, high = statistics.resampled(sums(v), 500, 1)
+    assert low < mean < high and abs(mean - v.mean()) < 1e-12
+    assert statistics.resampled(sums(v)[:1], 10, 1) == (v[:10].mean(),) * 3
+    diff, lo, hi = statistics.resampled(sums(v + c % 2, (c % 2).astype(float)), 500, 1)
     assert lo < diff < hi and 0.5 < diff < 1.5
+    # Each draw's total is that of the clusters it picked.
+    picked = np.random.default_rng(5).integers(0, 40, size=(7, 40))
+    assert np.allclose(statistics.drawn_totals(sums(v), 7, 5)[:, 0], sums(v)[:, 0][picked].sum(axis=1))
+    with pytest.raises(ValueError):
+        statistics.resampled(sums(v, np.zeros(400)), 5, 1)
 
 
 def test_planted_edge_is_found_and_its_absence_is_not(spark):
