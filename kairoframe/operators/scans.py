@@ -109,3 +109,11 @@ def latest_filers(filings: DataFrame, segments: DataFrame, as_of: str) -> DataFr
     """The latest filing known at the instant of each security that a visible segment links to its filer."""
     known = visible(filings, as_of).join(segments.filter((F.col("available_at") <= instant(as_of)) & (F.col("cik_available_at") <= instant(as_of))).select("security_id", "cik").distinct(), "cik")
     return first_of(known, ["security_id"], [F.desc("available_at"), F.desc("accn")])
+
+
+def trend_panel(bars: DataFrame, events: DataFrame, length: int, least: int, last: int | None = None) -> DataFrame:
+    """bars (one row a security and session) with fair value, bands and colour over spin-offs: levels before an adjusted one are
+    rescaled, a restarted series begins anew, and sessions between an ex-date and its settlement have none."""
+    made = windows.sticky_colour(windows.crossing_medians(windows.fair_value(rescaled(bars, events), length), last), least)
+    panel = blank_sessions(made, events)
+    return panel.select("security_id", "session_date", *[F.when(~F.col("blank"), F.col(c)).alias(c) for c in ("fv", "hu", "ld", "colour")])

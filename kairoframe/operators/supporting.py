@@ -135,3 +135,19 @@ def parameter_grid(axes: dict[str, Sequence[float]], spark) -> DataFrame:
     for name, values in axes.items():
         out = out.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
     return out.drop("_")
+
+
+def repeated_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that occur more than once, with how often: series need one row for each security and session."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+
+
+def splits_after(splits: DataFrame, imports: DataFrame) -> DataFrame:
+    """symbol, ex_date of splits after the start of a symbol's imported bars (symbol, start), which an adjusted source would have rewritten."""
+    starts = imports.select("symbol", "start")
+    return splits.select("symbol", "ex_date").join(starts, "symbol").filter("ex_date > start").select("symbol", "ex_date").distinct()
+
+
+def request_windows(windows: DataFrame, active: DataFrame) -> DataFrame:
+    """Windows that may limit requests: those of symbols that are no longer listed. Listed ones are asked for in every period."""
+    return windows.join(active.select("symbol").distinct(), "symbol", "left_anti")

@@ -61,3 +61,11 @@ def latest_filers(w: World):
 def pool_colours(w: World):
     left = w.bars.filter("volume > 0").select("symbol", "session_date").distinct()
     return joins.as_of_backward(left, w.splits.select("symbol", F.col("ex_date").alias("last_split")).distinct(), "symbol", "session_date", "last_split", ["last_split"])
+
+
+@query("trend_panel")
+def trend_panel(w: World):
+    bars = panel(w)
+    events = spinoffs.events(pit.spinoffs_as_of(w.spinoffs, AS_OF), bars).filter("security_id is not null")
+    made = scans.trend_panel(bars.select("security_id", "session_date", "open", "high", "low", "close"), events, 10, 5)
+    return made.groupBy("security_id").agg(F.count("fv").alias("valued"), F.count_if(F.col("colour") == "red").alias("red"), F.count_if(F.col("colour") == "green").alias("green"))

@@ -123,4 +123,4 @@ def account_replay(w: World):
     runs = signals.groupBy("run_id").agg(F.min("session_date").alias("first"), F.max("session_date").alias("last"))
     rows = replay.stream(runs, bars.select("session_date").distinct(), signals, bars, pit.splits_as_of(w.splits, AS_OF), events, flags)
     made = replay.replayed(rows, replay.AccountRules(equity=1e6))
-    return made.select("run_id", "kind", "day", "security_id", "reason", "shares", "spinoff", *[tidy(F.col(c)).alias(c) for c in ("exit_price", "pnl", "r_multiple", "child_proceeds", "equity", "gross")])
+    return made.select("run_id", "kind", "day", "security_id", "reason", "shares", "spinoff", *[tidy(F.col(c)).alias(c) for c in ("exit_price", "pnl", "r_multiple", "mae_pct", "mfe_pct", "child_proceeds", "equity", "gross")])

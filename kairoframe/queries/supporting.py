@@ -117,3 +117,20 @@ def closes_of_run(w: World):
 @query("excursions", "select run_id, median(pnl) as pnl, median(r_multiple) as r, count(*) filter (where leg = 2) as second_legs from [trades] group by run_id")
 def excursions(w: World):
     return w.trades.groupBy("run_id").agg(F.median("pnl").alias("pnl"), F.median("r_multiple").alias("r"), F.count_if(F.col("leg") == 2).alias("second_legs"))
+
+
+@query("repeated_rows", "select security_id, session_date, count(*) as rows from (select concat('X', k % 50) as security_id, session_date from [bars]) x group by 1, 2 having count(*) > 1")
+def repeated_rows(w: World):
+    rows = w.bars.select(F.concat(F.lit("X"), (F.col("k") % 50).cast("string")).alias("security_id"), "session_date")
+    return sup.repeated_rows(rows, ["security_id", "session_date"])
+
+
+@query("splits_after_import", "select distinct s.symbol, s.ex_date from [splits] s join (select symbol, min(session_date) as start from [imported] group by symbol) i using (symbol) where s.ex_date > i.start")
+def splits_after_import(w: World):
+    return sup.splits_after(w.splits, w.imported.groupBy("symbol").agg(F.min("session_date").alias("start")))
+
+
+@query("request_windows", "select ticker as symbol, min(snapshot_date) as start from [snapshots] where ticker not in (select symbol from [bars] where k % 2 = 0) group by ticker")
+def request_windows(w: World):
+    seen = w.snapshots.groupBy(F.col("ticker").alias("symbol")).agg(F.min("snapshot_date").alias("start"))
+    return sup.request_windows(seen, w.bars.filter("k % 2 = 0").select("symbol"))
