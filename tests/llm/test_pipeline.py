@@ -36,3 +36,16 @@ def test_stages(spark):
     assert set(mix) == set(clean) and max(collections.Counter(mix).values()) <= 3
     n = sum(-(-(len(token_output.encoder().encode_ordinary(t)) + 1) // token_output.LENGTH) for _, t in mix)
     assert sum(r["n_slots"] for r in docs.select("n_slots").collect()) == n
+
+
+def test_odd_and_empty_tables(spark, tmp_path, odd, none):
+    """Nulls in any column, repeated rows and ids, long texts, clashing names; a contaminated document; nothing at all."""
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    more = spark.createDataFrame([(30, f"well then {item} and so on", "en", "a", 80, 99, "keep", 1.5)], odd.schema)
+    spark.createDataFrame([(1, item), (2, None), (None, ""), (1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, docs in (("odd", odd.unionByName(more)), ("none", none)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    ids = [i for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect() for i in r["doc_ids"]]
+    assert not {1, 2, 3, 8, 30} & set(ids) and {4, 5, None} <= set(ids)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
