@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins, statistics, windows
+from ..session import cut
 
 SPAN = ("variant", "key", "entry_session", "exit_session", "exit_at")
 
@@ -102,7 +103,7 @@ def restart_crossings(null: DataFrame) -> DataFrame:
 
 def null_test(spans: DataFrame, panel: DataFrame, permutations: int, seed: int) -> DataFrame:
     """Each variant's trades against random members of its pools, corrected for the best of the family."""
-    return statistics.max_statistic(spans.select("variant", "ret"), family_nulls(panel, permutations, seed))
+    return statistics.max_statistic(cut(spans.select("variant", "ret")), cut(family_nulls(panel, permutations, seed)))
 
 
 def entry_spans(entries: DataFrame, prices: DataFrame, calendar: DataFrame, holds: Sequence[int], last: str, bps: float) -> DataFrame:
@@ -118,7 +119,7 @@ def entry_spans(entries: DataFrame, prices: DataFrame, calendar: DataFrame, hold
 
 def entry_test(spans: DataFrame, panel: DataFrame, calendar: DataFrame, permutations: int, seed: int, draws: int = 2000) -> DataFrame:
     """null_test of entry spans with the excess over each span's own null mean and its interval over clusters of whole holds."""
-    null = family_nulls(panel, permutations, seed)
+    null, spans = cut(family_nulls(panel, permutations, seed)), cut(spans)  # each is looked at several times
     own = null.groupBy("variant", "key").agg(F.avg("ret").alias("_null"))
     days = numbered(calendar).select(F.col("session_date").alias("entry_session"), "idx")
     rows = spans.join(own, ["variant", "key"]).join(days, "entry_session").withColumn("excess", F.col("ret") - F.col("_null")).withColumn("cluster", F.floor((F.col("idx") - 1) / F.col("hold")))

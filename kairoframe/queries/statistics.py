@@ -105,6 +105,7 @@ def evaluated(w: World):
     pools = evaluation.pools_for(spans, bars, members)
     splits = pit.splits_as_of(w.splits, AS_OF).join(bars.select("security_id", "symbol").distinct(), "symbol").select("security_id", "ex_date", "factor")
     none = splits.limit(0).select("security_id", "ex_date")
+    pools = cut(pools)
     known = spans.join(pools.select("variant", "key").distinct(), ["variant", "key"], "left_semi")
     return known, evaluation.priced(pools, bars, splits, none.withColumn("paid", F.lit(0.0)), none, 5.0), bars
 
