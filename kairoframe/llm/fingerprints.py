@@ -69,7 +69,9 @@ def sample(term: Column, log_weight: Column, k: int, points: Column | None = Non
     r = low + middle(bits(7, 10)) * F.lit(2.0**-10) * (high - low)
     b = middle(bits(17, 13)) * F.lit(2.0**-13)
     c = F.lit(34 * math.log(2)) - F.log(middle(bits(30, 17)) * middle(F.shiftrightunsigned(h, 47)))
-    return c * F.exp(r * (b - F.lit(1.0) - F.floor(log_weight / r + b).cast("double")))
+    # t is 0 where the weight is 1, as b < 1; most terms occur once.
+    t = F.when(log_weight == 0, F.lit(0.0)).otherwise(F.floor(log_weight / r + b).cast("double"))
+    return c * F.exp(r * (b - F.lit(1.0) - t))
 
 
 def signatures(terms: DataFrame, keys: list[str], k: int = K) -> DataFrame:
