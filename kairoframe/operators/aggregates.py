@@ -11,9 +11,11 @@ from ..plans.pit import first_of, within
 
 
 def tidy(x: Column, digits: int = 6) -> Column:
-    """Rounded half up by floor, which does not depend on the engine."""
+    """Rounded half up by floor, which does not depend on the engine. From 2 ** 52 on a double is whole: Spark's floor, a
+    long, would cut it off at the greatest long (and turn NaN into 0)."""
     scale = float(10**digits)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    moved = x * F.lit(scale) + F.lit(0.5)
+    return F.when(F.abs(moved) < F.lit(2.0**52), F.floor(moved).cast("double")).otherwise(moved) / F.lit(scale)
 
 
 def dollar_volume(bars: DataFrame, sessions: DataFrame, key: str = "security_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairoframe.functions import text
-from kairoframe.operators import identity, joins, recurrences, simulation, statistics, windows
+from kairoframe.operators import aggregates, identity, joins, recurrences, simulation, statistics, windows
 from kairoframe.sources import tables
 
 D = datetime.date
@@ -250,3 +250,20 @@ def test_groups_are_whole_whatever_the_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(tuple(r) for r in got) == [(k, 1 + 3 * k, True) for k in range(7)]
     assert grouped_rows(df.limit(0), "k", "i", lambda g: [(1, 1, True)], "k long, n long, ordered boolean").count() == 0
+
+
+def test_rounding_of_large_values(spark):
+    """Beyond the greatest long a floor of a double used to stay at 9223372036854.775."""
+    xs = [1.2345675, -1.2345675, 0.0, 2.0600447145753476e16, -3e20, 1e300, float("inf"), 9.3e12, 4503599627.123456, None]
+    got = [r["y"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", aggregates.tidy(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert got == [1.234568, -1.234567, 0.0, 2.0600447145753476e16, -3e20, 1e300, float("inf"), 9.3e12, 4503599627.123456, None]
+    assert np.isnan(spark.sql("select double('nan') as x").select(aggregates.tidy(F.col("x")).alias("y")).first()["y"])
+
+
+def test_curve_of_many_splits(spark):
+    days = [D(2020, 1, 1) + datetime.timedelta(i) for i in range(31)]
+    bars = spark.createDataFrame([("a", d, 10.0, 10.0) for d in days], "symbol string, session_date date, open double, close double")
+    splits = spark.createDataFrame([("a", d, 5.0) for d in days[1:]], "symbol string, ex_date date, factor double")
+    none = spark.createDataFrame([], "symbol string, ex_date date, rate double")
+    last = simulation.buy_and_hold(bars, splits, none).withColumn("equity", aggregates.tidy(F.col("equity"))).orderBy(F.desc("session_date")).first()
+    assert last["equity"] == pytest.approx(5.0**30, rel=1e-12)
