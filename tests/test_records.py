@@ -152,3 +152,16 @@ def test_takeovers_are_settled(spark):
     pieces = spark.createDataFrame([("LBL", 1, at(0), at(31)), ("LB2", 2, at(0), at(31)), ("LB3", 3, at(0), at(5)), ("LB3", 4, at(5), at(31))], "symbol string, chain int, valid_from date, valid_to date")
     got = {r["key"]: r["resolution"] for r in edge_rules.settled_takeovers(takeovers, members, pieces, b).collect()}
     assert got == {1: "relabelled", 2: "new_security", 3: "bridged", 4: "unresolved"}
+
+
+def test_filings_in_windows_that_meet(spark):
+    """Windows of an entity and a filer that meet are one, empty ones none; equal filings give a row for each entity."""
+    day = lambda k: None if k is None else D(2020, 1, 1) + datetime.timedelta(k)
+    spans = [("a", 1, None, None), ("a", 1, 3, 9), ("b", 1, 2, 6), ("b", 1, 4, 8), ("b", 1, 8, 9), ("b", 1, 12, 12), ("b", 1, 20, 15), ("c", 1, None, 5), ("c", 1, 4, 7), ("c", 1, 9, None), ("c", 1, 11, 13), ("b", 2, 5, None), ("d", 2, 5, 6)]
+    windows = spark.createDataFrame([(e, c, day(a), day(z)) for e, c, a, z in spans], "entity_id string, cik int, start date, end date")
+    made = sorted((r["entity_id"], r["cik"], r["start"], r["end"]) for r in filings.disjoint_windows(windows).filter("entity_id = 'b'").collect())
+    assert made == [("b", 1, day(2), day(9)), ("b", 2, day(5), None)]
+    rows = [(f"A{k}", c, day(k)) for k in range(25) for c in (1, 2)] * 2
+    got = filings.belonging(spark.createDataFrame(rows, "accn string, cik int, filed date"), windows, "filed").collect()
+    want = {(n, c, d, e) for n, c, d in rows for e, f, a, z in spans if f == c and (a is None or day(a) <= d) and (z is None or d < day(z))}
+    assert len(got) == len(want) and {(r["accn"], r["cik"], r["filed"], r["entity_id"]) for r in got} == want
