@@ -106,9 +106,13 @@ def reaction_sessions(filings: DataFrame, sessions: DataFrame, opens: Column) ->
 
 
 def latest_filers(filings: DataFrame, segments: DataFrame, as_of: str) -> DataFrame:
-    """The latest filing known at the instant of each security that a visible segment links to its filer."""
-    known = visible(filings, as_of).join(segments.filter((F.col("available_at") <= instant(as_of)) & (F.col("cik_available_at") <= instant(as_of))).select("security_id", "cik").distinct(), "cik")
-    return first_of(known, ["security_id"], [F.desc("available_at"), F.desc("accn")])
+    """The latest filing known at the instant of each security that a visible segment links to its filer.
+
+    A security's latest filing is the latest of one of its filers, so filings are cut to one a filer before the join.
+    """
+    order = [F.desc("available_at"), F.desc("accn")]
+    links = segments.filter((F.col("available_at") <= instant(as_of)) & (F.col("cik_available_at") <= instant(as_of))).select("security_id", "cik").distinct()
+    return first_of(first_of(visible(filings, as_of), ["cik"], order).join(links, "cik"), ["security_id"], order)
 
 
 def trend_panel(bars: DataFrame, events: DataFrame, length: int, least: int, last: int | None = None) -> DataFrame:

@@ -165,3 +165,17 @@ def test_filings_in_windows_that_meet(spark):
     got = filings.belonging(spark.createDataFrame(rows, "accn string, cik int, filed date"), windows, "filed").collect()
     want = {(n, c, d, e) for n, c, d in rows for e, f, a, z in spans if f == c and (a is None or day(a) <= d) and (z is None or d < day(z))}
     assert len(got) == len(want) and {(r["accn"], r["cik"], r["filed"], r["entity_id"]) for r in got} == want
+
+
+def test_latest_filers_of_one_large_filer(spark):
+    """A filer with 60,000 filings and 20,000 securities: 1.2 billion pairs used to be made and sorted."""
+    import time
+
+    from kairoframe.operators import scans
+
+    at = "timestamp_ntz'2020-01-01 00:00:00'"
+    made = spark.range(60_000).selectExpr("1 as cik", "concat('A', id) as accn", f"{at} + make_dt_interval(0, 0, id % 50000) as available_at")
+    segments = spark.range(20_000).selectExpr("concat('X', id) as security_id", "1 as cik", f"{at} as available_at", f"{at} as cik_available_at")
+    start = time.time()
+    got = scans.latest_filers(made, segments, "2020-12-31 00:00:00").groupBy("accn").count().collect()
+    assert [tuple(r) for r in got] == [("A49999", 20_000)] and time.time() - start < 20
