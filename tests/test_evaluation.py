@@ -80,3 +80,18 @@ def test_benchmarks_side_by_side(spark):
     one = spark.createDataFrame([("SPY", DAYS[0], 1.0)], "symbol string, session_date date, equity double")
     two = spark.createDataFrame([(DAYS[0], 1.0)], "session_date date, equity double")
     assert {r["label"] for r in evaluation.benchmark_curves(one, two, "top 5").collect()} == {"SPY", "top 5"}
+
+
+def test_null_returns_share_their_pool(spark):
+    """20,000 spans of one day with a pool of 4,000: 80 million pairs used to be laid out. The draws are those of picks."""
+    import time
+
+    pool = spark.range(4_000).selectExpr("date'2024-01-05' as day", "concat('S', id) as security_id", "case when id % 3 > 0 then cast(id as double) end as ret")
+    spans = spark.range(20_000).selectExpr("concat('v', id % 2) as variant", "concat('k', id) as key", "date'2024-01-05' as day").unionByName(spark.sql("select 'v0' as variant, 'lone' as key, date'2024-01-06' as day"))
+    start = time.time()
+    got = statistics.null_returns(spans, pool, 10, 3).filter("key in ('k7', 'k8') or perm = 9").collect()
+    assert time.time() - start < 30 and len(got) == 20_000 + 2 * 9
+    names = sorted(f"S{i}" for i in range(4_000))
+    for key in ("k7", "k8"):
+        want = [float(names[i][1:]) for i in statistics.picks(key, [int(n[1:]) % 3 > 0 for n in names], 10, 3)]
+        assert [r["ret"] for r in sorted(got, key=lambda r: r["perm"]) if r["key"] == key] == want
