@@ -1,14 +1,15 @@
 """Evaluation of runs: pools, null families, entry tests, re-entries, curves and benchmarks.
 
 Spans (variant, key, security_id, entry_session, exit_session, exit_at, ret) meet the pool of the evening before their
-entry; each pair of a span and a member is priced once, by joins, and the keyed draws choose among them span by span, so a
-task holds one span's pool. Variants whose pools agree share them by the join.
+entry. A member's return depends on the sessions alone, so pools are priced once for each window (entry, exit), by joins,
+and all spans of a window draw from the one pool, whatever their variant; pairs of spans and members are never laid out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from . import joins, statistics, windows
 from ..session import cut
 
 SPAN = ("variant", "key", "entry_session", "exit_session", "exit_at")
+WINDOW = SPAN[2:]
 
 
 def numbered(calendar: DataFrame) -> DataFrame:
@@ -48,11 +50,11 @@ def undecided(trades: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def pools_for(spans: DataFrame, calendar: DataFrame, members: DataFrame) -> DataFrame:
-    """spans with each member (session_date, member) of the pool of the session before the entry."""
+    """spans, or windows alone, with each member (session_date, member) of the pool of the session before the entry."""
     days = numbered(calendar)
     evening = days.select(F.col("session_date").alias("entry_session"), (F.col("idx") - 1).alias("idx")).join(days.withColumnRenamed("session_date", "_evening"), "idx").drop("idx")
     pool = members.select(F.col("session_date").alias("_evening"), "member")
-    return spans.select(*SPAN).distinct().join(evening, "entry_session").join(pool, "_evening").drop("_evening")
+    return spans.select(*[c for c in SPAN if c in spans.columns]).distinct().join(evening, "entry_session").join(pool, "_evening").drop("_evening")
 
 
 def held_through(entry: Column, exit_: Column, ex_date: Column) -> Column:
@@ -61,7 +63,7 @@ def held_through(entry: Column, exit_: Column, ex_date: Column) -> Column:
 
 
 def priced(pools: DataFrame, prices: DataFrame, splits: DataFrame, children: DataFrame, restarts: DataFrame, bps: float) -> DataFrame:
-    """pools with ret (null: no price at one end) and crossed: the return of each member over each span.
+    """pools (of spans or of windows) with ret (null: no price at one end) and crossed: the return of each member over each.
 
     prices: security_id, session_date, open, close; splits: security_id, ex_date, factor; children: security_id, ex_date,
     paid (for a share held then); restarts: security_id, ex_date of spin-offs that could not be priced.
@@ -82,7 +84,7 @@ def priced(pools: DataFrame, prices: DataFrame, splits: DataFrame, children: Dat
     lost = crossed(restarts).select(*key).distinct().withColumn("crossed", F.lit(True))
     rows = rows.join(factor, key, "left").join(kids, key, "left").join(lost, key, "left")
     ret = statistics.leg_return(F.col("_in"), F.col("_out"), F.coalesce("_factor", F.lit(1.0)), F.coalesce("_child", F.lit(0.0)), bps)
-    return rows.select(*SPAN, "member", ret.alias("ret"), F.coalesce("crossed", F.lit(False)).alias("crossed"))
+    return rows.select(*[c for c in SPAN if c in pools.columns], "member", ret.alias("ret"), F.coalesce("crossed", F.lit(False)).alias("crossed"))
 
 
 def family_nulls(panel: DataFrame, permutations: int, seed: int) -> DataFrame:
@@ -101,9 +103,40 @@ def restart_crossings(null: DataFrame) -> DataFrame:
     return null.groupBy("variant").agg(F.count_if("crossed").alias("crossings"))
 
 
+def null_sums(spans: DataFrame, panel: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """variant, key, perm, n, s, q: number, sum and sum of squares of the draws of family_nulls, by span (perm is null) and,
+    for each part of a window's spans, by permutation (key is null). The draws themselves never leave their task.
+
+    panel: priced pools of windows, or of spans.
+    """
+    on = [c for c in SPAN if c in panel.columns]
+
+    def draw(made: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        made, members = made.drop_duplicates(["variant", "key"]), members.sort_values("member")
+        if not len(members):
+            made = made[:0]
+        values = members["ret"].to_numpy(float)
+        at = statistics.all_picks(made["key"], ~np.isnan(values), permutations, seed)
+        rets, variants = values[at], made["variant"].to_numpy(object)
+        out = [pd.DataFrame({"variant": variants, "key": made["key"].to_numpy(object), "perm": pd.array([None] * len(made), "Int64"), "n": permutations, "s": rets.sum(axis=1), "q": (rets**2).sum(axis=1)})]
+        for v in sorted(set(variants)):
+            own = rets[variants == v]
+            out.append(pd.DataFrame({"variant": v, "key": None, "perm": pd.array(range(permutations), "Int64"), "n": len(own), "s": own.sum(axis=0), "q": (own**2).sum(axis=0)}))
+        return pd.concat([x for x in out if len(x)] or out)
+
+    both = statistics.with_pools(spans.select(*SPAN), panel.select(*on, "member", "ret"), on)
+    return both.applyInPandas(draw, "variant string, key string, perm long, n long, s double, q double")
+
+
+def null_means(sums: DataFrame) -> DataFrame:
+    """variant, perm, m: each permutation's mean."""
+    return sums.filter("key is null").groupBy("variant", "perm").agg((F.sum("s") / F.sum("n")).alias("m"))
+
+
 def null_test(spans: DataFrame, panel: DataFrame, permutations: int, seed: int) -> DataFrame:
     """Each variant's trades against random members of its pools, corrected for the best of the family."""
-    return statistics.max_statistic(cut(spans.select("variant", "ret")), cut(family_nulls(panel, permutations, seed)))
+    means = cut(null_means(null_sums(spans, panel, permutations, seed)))
+    return statistics.max_of_means(cut(spans.select("variant", "ret")), means)
 
 
 def entry_spans(entries: DataFrame, prices: DataFrame, calendar: DataFrame, holds: Sequence[int], last: str, bps: float) -> DataFrame:
@@ -119,13 +152,15 @@ def entry_spans(entries: DataFrame, prices: DataFrame, calendar: DataFrame, hold
 
 def entry_test(spans: DataFrame, panel: DataFrame, calendar: DataFrame, permutations: int, seed: int, draws: int = 2000) -> DataFrame:
     """null_test of entry spans with the excess over each span's own null mean and its interval over clusters of whole holds."""
-    null, spans = cut(family_nulls(panel, permutations, seed)), cut(spans)  # each is looked at several times
-    own = null.groupBy("variant", "key").agg(F.avg("ret").alias("_null"))
+    null, spans = cut(null_sums(spans, panel, permutations, seed)), cut(spans)  # each is looked at several times
+    own = null.filter("perm is null").select("variant", "key", (F.col("s") / F.col("n")).alias("_null"))
     days = numbered(calendar).select(F.col("session_date").alias("entry_session"), "idx")
     rows = spans.join(own, ["variant", "key"]).join(days, "entry_session").withColumn("excess", F.col("ret") - F.col("_null")).withColumn("cluster", F.floor((F.col("idx") - 1) / F.col("hold")))
     interval = statistics.bootstrap(rows, "variant", "excess", "cluster", draws, seed).select("variant", F.col("low").alias("excess_low"), F.col("high").alias("excess_high"))
-    sd = spans.groupBy("variant").agg(F.stddev_pop("ret").alias("_a")).join(null.groupBy("variant").agg(F.stddev_pop("ret").alias("_b")), "variant").select("variant", (F.col("_a") / F.col("_b")).alias("sd_ratio"))
-    return statistics.max_statistic(spans.select("variant", "ret"), null).join(interval, "variant").join(sd, "variant")
+    mean = F.sum("s") / F.sum("n")
+    spread = null.filter("key is null").groupBy("variant").agg(F.sqrt(F.greatest(F.sum("q") / F.sum("n") - mean * mean, F.lit(0.0))).alias("_b"))
+    sd = spans.groupBy("variant").agg(F.stddev_pop("ret").alias("_a")).join(spread, "variant").select("variant", (F.col("_a") / F.col("_b")).alias("sd_ratio"))
+    return statistics.max_of_means(spans.select("variant", "ret"), null_means(null)).join(interval, "variant").join(sd, "variant")
 
 
 def pool_excess(spans: DataFrame, panel: DataFrame) -> DataFrame:

@@ -95,3 +95,20 @@ def test_null_returns_share_their_pool(spark):
     for key in ("k7", "k8"):
         want = [float(names[i][1:]) for i in statistics.picks(key, [int(n[1:]) % 3 > 0 for n in names], 10, 3)]
         assert [r["ret"] for r in sorted(got, key=lambda r: r["perm"]) if r["key"] == key] == want
+
+
+def test_windows_share_their_pool(spark, calendar):
+    """Pools priced for each window give every span the test that pools priced for each span give."""
+    rng = np.random.default_rng(4)
+    prices = spark.createDataFrame([(f"S{i}", d, p, p) for i in range(12) for k, d in enumerate(DAYS) for p in [float(rng.uniform(50, 150))] if (i + k) % 9], "security_id string, session_date date, open double, close double").cache()
+    entries = spark.createDataFrame([(v, f"S{i}", DAYS[k]) for v in ("a", "b") for i in range(0, 12, 1 + (v == "b")) for k in (10, 11, 25)], "variant string, security_id string, session_date date")
+    spans = evaluation.entry_spans(entries, prices, calendar, (5, 10), str(DAYS[-1]), 0.0)
+    members = prices.select("session_date", prices.security_id.alias("member"))
+    none = spark.createDataFrame([], "security_id string, ex_date date, factor double, paid double")
+    each, shared = (evaluation.priced(evaluation.pools_for(x, calendar, members), prices, none, none, none, 0.0) for x in (spans, spans.select(*evaluation.WINDOW)))
+    assert shared.count() < each.count() / 10
+    one, other = ({r["variant"]: r for r in evaluation.entry_test(spans, x, calendar, 50, 5, 100).collect()} for x in (each, shared))
+    drawn = {r["variant"]: r for r in evaluation.family_nulls(each, 50, 5).groupBy("variant").agg({"ret": "avg", "*": "count"}).collect()}
+    assert sorted(one) == ["a:10", "a:5", "b:10", "b:5"] and sorted(other) == sorted(one)
+    for v, r in other.items():
+        assert all(r[c] == pytest.approx(one[v][c], abs=1e-12) for c in r.asDict() if c != "variant") and r["null_mean"] == pytest.approx(drawn[v]["avg(ret)"])
