@@ -112,3 +112,20 @@ def test_windows_share_their_pool(spark, calendar):
     assert sorted(one) == ["a:10", "a:5", "b:10", "b:5"] and sorted(other) == sorted(one)
     for v, r in other.items():
         assert all(r[c] == pytest.approx(one[v][c], abs=1e-12) for c in r.asDict() if c != "variant") and r["null_mean"] == pytest.approx(drawn[v]["avg(ret)"])
+
+
+def test_spare_draws_are_one_stream():
+    """Drawn many at a time, the spare draws are those of one at a time, and a pool with few priced members is not slow."""
+    import time
+
+    priced = [i % 400 == 7 for i in range(6_007)]
+    got = statistics.picks("k", priced, 30, 9)
+    rows = np.random.default_rng([9, statistics.key_seed("k")]).integers(0, len(priced), size=(30, statistics.CANDIDATES))
+    for k, row in enumerate(rows):
+        spare, at = np.random.default_rng([9, statistics.key_seed("k"), k]), next((int(i) for i in row if priced[i]), None)
+        while at is None or not priced[at]:
+            at = int(spare.integers(0, len(priced)))
+        assert got[k] == at
+    start = time.time()
+    statistics.picks("k", priced, 5_000, 9)
+    assert time.time() - start < 2
