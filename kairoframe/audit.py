@@ -471,11 +471,10 @@ def n2(s: Store) -> DataFrame:
 
 def n3(s: Store) -> DataFrame:
     days = s.raw.filter("volume > 0").groupBy("symbol").agg(F.count_distinct("session_date").alias("days"))
-    found = joins.identical_pairs(s.raw.filter(F.col("volume") > DUP_VOLUME), "symbol", ["session_date", "trade_count", "volume"])
-    rows = found.groupBy(F.col("first").alias("symbol_a"), F.col("second").alias("symbol_b")).agg(F.count(F.lit(1)).alias("identical_days"))
-    rows = rows.join(days.select(F.col("symbol").alias("symbol_a"), F.col("days").alias("_a")), "symbol_a").join(days.select(F.col("symbol").alias("symbol_b"), F.col("days").alias("_b")), "symbol_b")
-    rows = rows.withColumn("shorter_days", F.least("_a", "_b")).withColumn("ratio", F.col("identical_days") / F.col("shorter_days")).filter((F.col("ratio") >= RELABEL[0] / 100) & (F.col("ratio") < RELABEL[1]))
-    return by_symbol(s, rows.select(F.concat_ws("/", "symbol_a", "symbol_b").alias("key"), "symbol_a", "symbol_b", "identical_days", "shorter_days", "ratio"), "symbol_a", "symbol_b")
+    found = joins.identical_counts(s.raw.filter(F.col("volume") > DUP_VOLUME), by_symbol(s, days, "symbol"), "symbol", ["session_date", "trade_count", "volume"])
+    rows = found.select(F.col("first_symbol").alias("symbol_a"), F.col("second_symbol").alias("symbol_b"), F.col("identical").alias("identical_days"), F.least("first_days", "second_days").alias("shorter_days"), (F.col("first_in_liquid") | F.col("second_in_liquid")).alias("in_liquid"))
+    rows = rows.withColumn("ratio", F.col("identical_days") / F.col("shorter_days")).filter((F.col("ratio") >= RELABEL[0] / 100) & (F.col("ratio") < RELABEL[1]))
+    return rows.select(F.concat_ws("/", "symbol_a", "symbol_b").alias("key"), "symbol_a", "symbol_b", "identical_days", "shorter_days", "ratio", "in_liquid")
 
 
 def c1(s: Store) -> DataFrame:

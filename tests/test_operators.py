@@ -5,6 +5,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,3 +268,63 @@ def test_curve_of_many_splits(spark):
     none = spark.createDataFrame([], "symbol string, ex_date date, rate double")
     last = simulation.buy_and_hold(bars, splits, none).withColumn("equity", aggregates.tidy(F.col("equity"))).orderBy(F.desc("session_date")).first()
     assert last["equity"] == pytest.approx(5.0**30, rel=1e-12)
+
+
+def _shared(groups, names) -> dict:
+    """Brute force: how many groups each two names are both in."""
+    out: dict = {}
+    for members in groups:
+        for a in members:
+            for b in members:
+                if names[a] < names[b]:
+                    out[names[a], names[b]] = out.get((names[a], names[b]), 0) + 1
+    return out
+
+
+def test_counts_of_identical_rows(spark):
+    """Nulls equal nothing, copies of a row count once, names stand in the order of their bytes, and both ends carry their columns."""
+    r = np.random.default_rng(3)
+    names = [f"{'aZé€'[i % 4]}{i}" for i in range(60)]
+    groups = [set(r.choice(60, size=n, replace=False).tolist()) for n in [1, 2, 60, *r.integers(2, 12, 80)]]
+    rows = [(names[m], g, g % 3) for g, members in enumerate(groups) for m in members]
+    rows += [*rows[:200], *[(n, None, 1) for n in names], *[(n, 1, None) for n in names]]
+    df = spark.createDataFrame(rows, "name string, day long, trades long")
+    about = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, number long")
+    got = joins.identical_counts(df, about, "name", ["day", "trades"]).collect()
+    assert len({(x["first_name"], x["second_name"]) for x in got}) == len(got)
+    assert {(x["first_name"], x["second_name"]): x["identical"] for x in got} == _shared(groups, names)
+    assert all(names[x["first_number"]] == x["first_name"] and names[x["second_number"]] == x["second_name"] for x in got)
+
+
+@pytest.mark.parametrize(("counted", "batch"), [(1, 1), (40, 7), (300, 64), (1 << 20, 1 << 16)])
+@pytest.mark.parametrize("one", [True, False])
+def test_tiles_are_whole_whatever_the_chunks(monkeypatch, counted, batch, one):
+    """Chunks of one entity, of many in dense or sparse cells, and batches cut inside a chunk give the same counts."""
+    monkeypatch.setattr(joins, "COUNTED", counted)
+    monkeypatch.setattr(joins, "BATCH", batch)
+    r = np.random.default_rng(counted)
+    names = sorted(f"n{i}" for i in range(50)) if one else [f"n{(i * 37) % 100}" for i in range(100)]
+    a = [r.choice(50, size=n, replace=False).tolist() for n in [50, 2, *r.integers(2, 5, 60)]]
+    b = a if one else [r.choice(50, size=n, replace=False).tolist() for n in [50, 1, *r.integers(1, 5, 60)]]
+    sides = [(k, i) for k in ((2,) if one else (2, 5)) for i in range(50)]
+    rows = [{"_tile": 2 * joins.SIDES + (2 if one else 5), "_a": x, "_b": y} for x, y in zip(a, b, strict=True)]
+    rows += [{"_tile": rows[0]["_tile"], "_side": k, "_at": i, "_about": {"name": names[n]}} for n, (k, i) in enumerate(sides)][::-1]
+    kinds = [("_tile", pa.int32()), ("_a", pa.list_(pa.int32())), ("_b", pa.list_(pa.int32())), ("_side", pa.int32()), ("_at", pa.int32()), ("_about", pa.struct([("name", pa.string())]))]
+    got = [x for made in joins._tile_counts(pa.Table.from_pylist(rows, pa.schema(kinds)), "name", ["name"]) for x in made.to_pylist()]
+    want: dict = {}
+    for x, y in zip(a, b, strict=True):
+        for i in x:
+            for j in y:
+                if not one or names[i] < names[j]:
+                    pair = tuple(sorted((names[i], names[j if one else j + 50])))
+                    want[pair] = want.get(pair, 0) + 1
+    assert len(got) == len(want) and {(x["first_name"], x["second_name"]): x["identical"] for x in got} == want
+
+
+def test_pairs_of_identical_bars_do_not_move(spark):
+    """Nothing is joined or exchanged once pairs are made, so audit_n3's disk grows with bars, not with pairs."""
+    from kairoframe import catalog
+
+    plan = catalog.QUERIES["audit_n3"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("Exchange")]
+    assert "FlatMapGroupsInArrow" in after and "Join" not in after and "Aggregate" not in after
