@@ -470,8 +470,11 @@ def n2(s: Store) -> DataFrame:
 
 
 def n3(s: Store) -> DataFrame:
-    days = s.raw.filter("volume > 0").groupBy("symbol").agg(F.count_distinct("session_date").alias("days"))
-    found = joins.identical_counts(s.raw.filter(F.col("volume") > DUP_VOLUME), by_symbol(s, days, "symbol"), "symbol", ["session_date", "trade_count", "volume"])
+    same = ["session_date", "trade_count", "volume"]
+    # a row a symbol: its days and its bars come from one table, so the bars are made and moved once
+    bars = s.raw.filter("volume > 0 and symbol is not null").groupBy("symbol").agg(F.collect_list(F.struct(*same)).alias("bars"))
+    days = bars.select("symbol", F.size(F.array_compact(F.array_distinct(F.transform("bars", lambda b: b["session_date"])))).cast("long").alias("days"))
+    found = joins.identical_counts(bars.select("symbol", F.inline("bars")).filter(F.col("volume") > DUP_VOLUME), by_symbol(s, days, "symbol"), "symbol", same)
     rows = found.select(F.col("first_symbol").alias("symbol_a"), F.col("second_symbol").alias("symbol_b"), F.col("identical").alias("identical_days"), F.least("first_days", "second_days").alias("shorter_days"), (F.col("first_in_liquid") | F.col("second_in_liquid")).alias("in_liquid"))
     rows = rows.withColumn("ratio", F.col("identical_days") / F.col("shorter_days")).filter((F.col("ratio") >= RELABEL[0] / 100) & (F.col("ratio") < RELABEL[1]))
     return rows.select(F.concat_ws("/", "symbol_a", "symbol_b").alias("key"), "symbol_a", "symbol_b", "identical_days", "shorter_days", "ratio", "in_liquid")

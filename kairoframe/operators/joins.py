@@ -81,7 +81,7 @@ def identical_counts(rows: DataFrame, about: DataFrame, entity: str, same: Seque
 
     about: a row an entity (not null), with what is to stand at both ends, as a pair is never joined again. Pairs are not
     moved: each two of SIDES sides of the entities are a tile, to which groups of equal rows go as two short lists of
-    numbers, and a tile's pairs are counted where they are made. So each row moves SIDES times, however many pairs it is in.
+    numbers, and a tile's pairs are counted where they are made. So each row moves up to SIDES times, however many pairs it is in.
     """
     numbered = about.withColumn("_side", F.pmod(F.xxhash64(entity), F.lit(SIDES)).cast("int"))
     numbered = numbered.withColumn("_at", F.row_number().over(Window.partitionBy("_side").orderBy(entity)) - 1)
