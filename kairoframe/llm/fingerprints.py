@@ -9,11 +9,15 @@ and the k-th sample is the term with the least ln a. Two documents choose the sa
 probability sum(min weights) / sum(max weights), the generalised Jaccard similarity. ln a identifies
 (term, t), so its hash is what the signature keeps: K hashes of 16 bits, as hexadecimal text.
 
-One 64-bit hash of (term, k) gives all three: 17 bits each for u and v of c = -ln(u v), 13 for b, and 17 for
-the place of r in its distribution, whose inverse is interpolated between `CELLS` + 1 points (continuous, so
-that no two terms step alike; tests hold collision rates against those of exact draws). It all stays in generated
-code. Since only the order of the ln a counts, a = c exp(-r (t - b + 1)) is compared instead: one logarithm and
-one exponential.
+r, b and c come from four uniform numbers by identities of the Gamma distribution: r (1 - b) and r b are independent
+Exp(1), and so are c exp(-r (1 - b)) and the rest of c. So with uniform x, y and v, hashed from (term, k),
+
+    u = ln x / (ln x + ln y),    r = -ln(u v),    r b = -ln v,    a = -ln x exp(-r t)
+
+is the same draw, continuous and without tables, and a = -ln x where the weight is 1 (t = 0). Only the order of the a
+counts, so exp(-a) is compared: x itself, one hash, for terms that occur once. r t is q - q mod r with q = ln w - ln v.
+It all stays in generated code. exp(-a) is kept to 36 bits for the hash, lest rounding tell apart what is equal (x
+lies in the middle of a cell of 2 ** -44).
 
 Data flow: the text is shuffled once, by ranges of doc_id. The order (descending doc_id), the term counts
 and the K minima are all computed inside those ranges, without another exchange. Range bounds are at most
@@ -34,58 +38,42 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, WORD, partitions, table, whole
 
 K = 64
-#: Cells of the inverse distribution of r (a power of two; the points and their steps are literals in the plan).
-CELLS = 128
+#: Bits of x, and of exp(-a) as the signature keeps it.
+BITS, KEPT = 44, 36
 MAX_RANGES = 1024
 #: Characters of text to a partition, and ranges to a partition, so that partitions come out even.
 CHARS, RANGES = 3_000_000, 3
 
 
-def gamma_points(n: int) -> list[float]:
-    """n + 1 points of the inverse of 1 - (1 + x) exp(-x), the distribution of Gamma(2, 1): at i / n, and a last one that gives the mean 2."""
-    out = [0.0]
-    for i in range(1, n):
-        lo, hi = out[-1], 60.0
-        for _ in range(70):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if 1 - (1 + mid) * math.exp(-mid) < i / n else (lo, mid)
-        out.append((lo + hi) / 2)
-    return [*out, 4.0 * n - 2 * sum(out) + out[0]]  # the mean of the line is (sum of the points - half the ends) / n
-
-
-def points_table() -> Column:
-    """As a literal, with few digits: each use of it is in the plan's text."""
-    return F.expr(f"array({', '.join(f'{x:.4f}D' for x in gamma_points(CELLS))})")
+def closeness(term: Column, log_weight: Column, k: int) -> Column:
+    """exp(-a) of one sample, between 0 and 1; term is a 64-bit hash."""
+    middle = lambda x, n: (x.cast("double") + F.lit(0.5)) * F.lit(2.0**-n)  # noqa: E731  of the interval that the bits stand for
+    more = F.xxhash64(term, F.lit(-1 - k))
+    x = middle(F.shiftrightunsigned(F.xxhash64(term, F.lit(k)), 64 - BITS), BITS)
+    y, v = middle(more.bitwiseAND(F.lit(0xFFFFFFFF)), 32), middle(F.shiftrightunsigned(more, 32), 32)
+    r = -F.log(v / (F.lit(1.0) + F.log(y) / F.log(x)))
+    # exp(-r t) = exp(q mod r) exp(-q), and exp(-q) = v / w; t is 0 where the weight is 1, as b < 1; most terms occur once.
+    shrunk = F.exp((log_weight - F.log(v)) % r) * v * F.exp(-log_weight)
+    return F.when(log_weight == 0, x).otherwise(F.pow(x, shrunk))
 
 
-def sample(term: Column, log_weight: Column, k: int, points: Column | None = None) -> Column:
-    """a of one sample; term is a 64-bit hash, whose 64 bits with k give r (7 for the cell, 10 within it), b (13), u and v (17 each)."""
-    points = points_table() if points is None else points
-    h = F.xxhash64(term, F.lit(k))
-    bits = lambda at, n: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
-    middle = lambda x: x.cast("double") + F.lit(0.5)  # noqa: E731  of the interval that the bits stand for
-    at = h.bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")
-    low, high = F.get(points, at), F.get(points, at + 1)
-    r = low + middle(bits(7, 10)) * F.lit(2.0**-10) * (high - low)
-    b = middle(bits(17, 13)) * F.lit(2.0**-13)
-    c = F.lit(34 * math.log(2)) - F.log(middle(bits(30, 17)) * middle(F.shiftrightunsigned(h, 47)))
-    # t is 0 where the weight is 1, as b < 1; most terms occur once.
-    t = F.when(log_weight == 0, F.lit(0.0)).otherwise(F.floor(log_weight / r + b).cast("double"))
-    return c * F.exp(r * (b - F.lit(1.0) - t))
+def sample(term: Column, log_weight: Column, k: int) -> Column:
+    """a of one sample."""
+    return -F.log(closeness(term, log_weight, k))
 
 
 def signatures(terms: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """terms: keys, term (64-bit hash), weight > 0 -> keys, fingerprint. One group by over the keys."""
     log_weight = F.log(F.col("weight").cast("double"))
     samples = terms.select(*keys, F.col("term"), log_weight.alias("lw"))
-    points = points_table()
-    least = samples.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("lw"), i, points)).alias(f"a{i}") for i in range(k)])
-    return least.select(*keys, signature_text([F.col(f"a{i}") for i in range(k)]).alias("fingerprint"))
+    least = samples.groupBy(*keys).agg(*[F.max(closeness(F.col("term"), F.col("lw"), i)).alias(f"z{i}") for i in range(k)])
+    return least.select(*keys, signature_text([F.col(f"z{i}") for i in range(k)]).alias("fingerprint"))
 
 
 def signature_text(samples: list[Column]) -> Column:
-    one = lambda a: F.lpad(F.lower(F.hex(F.xxhash64(a).bitwiseAND(F.lit(0xFFFF).cast("long")))), 4, "0")
-    return F.concat(*[F.when(a.isNull(), F.lit("0000")).otherwise(one(a)) for a in samples])
+    kept = lambda z: F.floor(z * F.lit(2.0**KEPT))
+    one = lambda z: F.lpad(F.lower(F.hex(F.xxhash64(kept(z)).bitwiseAND(F.lit(0xFFFF).cast("long")))), 4, "0")
+    return F.concat(*[F.when(z.isNull(), F.lit("0000")).otherwise(one(z)) for z in samples])
 
 
 def likeness(a: Column, b: Column, k: int = K) -> Column:

@@ -74,3 +74,25 @@ def test_ranges_cover_every_id(spark):
     bounds = list(range(0, 900, 7))
     got = df.select("doc_id", fp._range_of(F.col("doc_id"), bounds).alias("p")).collect()
     assert all(r["p"] == sum(b <= r["doc_id"] for b in bounds) for r in got)
+
+
+def test_heavier_terms_win_in_proportion(spark):
+    """Of two terms with weights w and 1 the first has the least a with probability w / (w + 1)."""
+    pairs = spark.range(40_000).select(F.xxhash64("id", F.lit(1)).alias("x"), F.xxhash64("id", F.lit(2)).alias("y"))
+    for w in (2.0, 7.0, 30.5):
+        share = pairs.select((fp.sample(F.col("x"), F.log(F.lit(w)), 5) < fp.sample(F.col("y"), F.lit(0.0), 5)).cast("double").alias("won")).agg(F.avg("won")).first()[0]
+        assert abs(share - w / (w + 1)) < 0.01
+
+
+def test_same_t_is_the_same_sample(spark):
+    """Weights that reach the same t, 1 among them, give the same 16 bits: no rounding comes between them."""
+    both = spark.range(20_000).select(F.xxhash64("id").alias("term"))
+    one, two = (fp.closeness(F.col("term"), F.log(F.lit(w)), 9) for w in (1.0, 1.25))
+    got = both.select((F.abs(one - two) < 1e-12).alias("near"), (fp.signature_text([one]) == fp.signature_text([two])).alias("same")).filter("near")
+    assert 14_000 < got.count() and got.filter("not same").count() == 0
+
+
+def test_plan_is_small(spark):
+    """No tables in the plan, which the driver holds many times over."""
+    terms = spark.range(5).select("id", F.xxhash64("id").alias("term"), F.lit(2).alias("weight"))
+    assert len(fp.signatures(terms, ["id"])._jdf.queryExecution().optimizedPlan().toString()) < 50_000
