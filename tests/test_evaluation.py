@@ -1,6 +1,7 @@
 """Evaluation drivers on hand-made cases."""
 
 import datetime
+import itertools
 
 import numpy as np
 import pytest
@@ -129,3 +130,35 @@ def test_spare_draws_are_one_stream():
     start = time.time()
     statistics.picks("k", priced, 5_000, 9)
     assert time.time() - start < 2
+
+
+def test_null_returns_read_every_session(spark):
+    """The query draws for each bar of each session, not of some, and its means are those of picks."""
+    from harness import DATA
+
+    from kairoframe import catalog
+    from kairoframe.adapters import World
+    from kairoframe.queries.pit import panel
+
+    bars = sorted(((r["session_date"], r["security_id"], r["close"] / r["open"] - 1 if r["volume"] % 3 else None) for r in panel(World(spark, f"{DATA}/sf0.001")).collect()), key=lambda r: r[:2])
+    pools = {d: [r for _, _, r in rows] for d, rows in itertools.groupby(bars, lambda r: r[0])}
+    pools = {d: rets for d, rets in pools.items() if any(r is not None for r in rets)}
+    rets = [[pools[d][i] for i in statistics.picks(f"{s}:{d}", [r is not None for r in pools[d]], 50, 7)] for d, s, _ in bars if d in pools]
+    got = sorted(catalog.QUERIES["null_returns"](spark, f"{DATA}/sf0.001").collect())
+    assert len({d.day for d in pools}) == 31 and [(r["perm"], r["variant"], r["spans"]) for r in got] == [(k, "a", len(rets)) for k in range(50)]
+    assert np.allclose([r["mean"] for r in got], np.mean(rets, axis=0), atol=1e-12)
+
+
+def test_null_totals_are_sums_of_null_returns(spark, monkeypatch):
+    """Rows that are only spans or only members, spans of two variants and a copy, a day without a priced member."""
+    monkeypatch.setattr(statistics, "CHUNK", 3)
+    D1, D2, D3 = DAYS[:3]
+    pool = [(d, f"S{i}", None if (i + k) % 3 == 0 or d == D3 else i + k / 10) for k, d in enumerate((D1, D2, D3)) for i in range(7)]
+    spans = [(v, f"k{i}", d) for d in (D1, D2, D3, DAYS[4]) for v in "ab" for i in range(10 if v == "a" else 2)] + [("a", "k1", D1)]
+    rows = [(d, "b" if s == "S5" else None, s if s == "S5" else None, s, r) for d, s, r in pool] + [(d, v, k, None, None) for v, k, d in spans]
+    got = {(r["variant"], r["perm"]): r for r in statistics.null_totals(spark.createDataFrame(rows, "day date, variant string, key string, security_id string, ret double"), 6, 2).groupBy("variant", "perm").sum("n", "s").collect()}
+    some = [(v, k, d) for v, k, d in [*spans, *(("b", "S5", d) for d in (D1, D2))] if d in (D1, D2)]
+    one = statistics.null_returns(spark.createDataFrame(some, "variant string, key string, day date"), spark.createDataFrame(pool, "day date, security_id string, ret double"), 6, 2)
+    want = {(r["variant"], r["perm"]): r for r in one.groupBy("variant", "perm").agg({"*": "count", "ret": "sum"}).collect()}
+    assert sorted(got) == sorted(want) and len(want) == 12
+    assert all(r["sum(n)"] == want[k]["count(1)"] and r["sum(s)"] == pytest.approx(want[k]["sum(ret)"], abs=1e-12) for k, r in got.items())
